@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts, token_files
+from . import decontaminate, packing, token_counts, token_files, transport
 from .common import table, tokenizer_path
 
 
+def op2_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport.media_features(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=1, room=2048)
 
@@ -20,5 +24,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op6_token_files, op8_token_counts)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+QUERIES = {f.__name__: f for f in (op2_transport_streams, op5_packing, op6_token_files, op8_token_counts, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
