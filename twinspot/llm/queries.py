@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, token_counts, token_files, transport
+from . import decontaminate, near_dup, packing, token_counts, token_files, transport
 from .common import table, tokenizer_path
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op2_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.media_features(table(spark, sf_dir, "documents"))
 
@@ -28,5 +33,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
-QUERIES = {f.__name__: f for f in (op2_transport_streams, op5_packing, op6_token_files, op8_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_transport_streams, op5_packing, op6_token_files, op8_token_counts, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
