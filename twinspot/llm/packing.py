@@ -13,6 +13,7 @@ all partitions but not consecutive; offsets are gapless from 0 in each.
 
 from __future__ import annotations
 
+import array
 import heapq
 import struct
 from collections.abc import Iterator
@@ -80,6 +81,16 @@ def assign(lengths: list[int], room: int) -> list[list[tuple[int, int]]]:
     return out
 
 
+def _narrow(ids: bytes) -> bytes:
+    """Two bytes an id where that holds them all, as it does for vocabularies up to 65,536."""
+    wide = array.array("I", ids)
+    return array.array("H", wide).tobytes() if max(wide) < 1 << 16 else ids
+
+
+def _wide(ids: bytes, n: int) -> bytes:
+    return ids if len(ids) == 4 * n else array.array("I", array.array("H", ids)).tobytes()
+
+
 def _tokenized(vocabulary: str, end_id: int, room: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(ByteEncoder, vocabulary), struct.pack("<I", end_id)
@@ -91,7 +102,7 @@ def _tokenized(vocabulary: str, end_id: int, room: int):
                 for at in range(0, n, room):
                     piece = ids[4 * at : 4 * (at + room)]
                     full = len(piece) == 4 * room
-                    for column, v in zip(out, (key, at, len(piece) // 4, ids_crc32(piece), n, None if full else piece), strict=True):
+                    for column, v in zip(out, (key, at, len(piece) // 4, ids_crc32(piece), n, None if full else _narrow(piece)), strict=True):
                         column.append(v)
             kinds = [pa.int64()] * 5 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [*_COLUMNS, "ids"])
@@ -114,11 +125,12 @@ def _packer(room: int):
             nonlocal sequence, rests
             filled: dict[int, int] = {}
             rows = []
-            for row, parts in zip(rests, assign([len(r[5]) // 4 for r in rests], room), strict=True):
+            for row, parts in zip(rests, assign([r[2] for r in rests], room), strict=True):
                 at = 0
                 for s, tokens in parts:
-                    ids = row[5][4 * at : 4 * (at + tokens)]
-                    rows.append((row[0], row[1] + at, tokens, ids_crc32(ids), row[4], sequence + s, filled.get(s, 0)))
+                    # few rests are cut; the others keep the checksum that they came with
+                    crc = row[3] if tokens == row[2] else ids_crc32(_wide(row[5], row[2])[4 * at : 4 * (at + tokens)])
+                    rows.append((row[0], row[1] + at, tokens, crc, row[4], sequence + s, filled.get(s, 0)))
                     filled[s] = filled.get(s, 0) + tokens
                     at += tokens
             sequence, rests = sequence + len(filled), []
