@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dup, packing, token_counts, token_files, transport
+from . import decontaminate, near_dup, packing, substring_dedup, token_counts, token_files, transport
 from .common import table, tokenizer_path
 
 
@@ -17,6 +17,10 @@ def op2_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.media_features(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=1, room=2048)
 
@@ -33,5 +37,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_transport_streams, op5_packing, op6_token_files, op8_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_transport_streams, op3_substring_dedup, op5_packing, op6_token_files, op8_token_counts, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
