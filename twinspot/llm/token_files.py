@@ -211,7 +211,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
     ahead = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(ahead), F.lit(0)))
-    placed = placed.select("part", "path", "before").repartition(F.col("path"))
+    # a number of partitions of its own: by their size alone, Spark would merge these few rows into one task
+    placed = placed.select("part", "path", "before").repartition(max(1, len(totals)), "path")
     return placed.mapInArrow(_reader(starts), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
