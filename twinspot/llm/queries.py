@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dup, packing, substring_dedup, token_counts, token_files, transport
+from . import decontaminate, line_dedup, near_dup, packing, substring_dedup, token_counts, token_files, transport
 from .common import table, tokenizer_path
 
 
@@ -33,9 +33,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_figures(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_transport_streams, op3_substring_dedup, op5_packing, op6_token_files, op8_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_transport_streams, op3_substring_dedup, op5_packing, op6_token_files, op8_token_counts, op9_line_dedup, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
