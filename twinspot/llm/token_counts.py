@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,11 +25,11 @@ from .common import pieces_of_batches, written
 from .pretokens import WordEncoder, encoder
 
 #: Bytes of text in a block; bounds a task's memory.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 14 << 20
 #: Set before a word that holds a special string; such a word is counted whole. No pre-token starts with it.
 WHOLE = "\n"
 
-_MATRIX = "block string, ids array<bigint>, n_bytes array<bigint>, offsets binary, columns binary, high binary, counts binary, pretokens array<string>"
+_MATRIX = "block bigint, ids array<bigint>, n_bytes array<bigint>, offsets binary, columns binary, high binary, counts binary, pretokens array<string>"
 
 
 def _matrices(path: str):
@@ -58,7 +59,7 @@ def _matrices(path: str):
             offsets = np.searchsorted(cell_doc, np.arange(len(ids) + 1))
             number += 1
             return pa.RecordBatch.from_arrays([
-                pa.array([f"{task}.{number}"]),
+                pa.array([task << 24 | number], pa.int64()),
                 pa.array([ids], pa.list_(pa.int64())),
                 pa.array([sizes], pa.list_(pa.int64())),
                 pa.array([offsets.astype("<i4").tobytes()], pa.binary()),
@@ -70,14 +71,14 @@ def _matrices(path: str):
 
         ids, sizes, rows, held = [], [], [], 0
         words: dict[str, int] = {}
-        for batch in pieces_of_batches(batches, "text", BLOCK_BYTES):
+        for batch in pieces_of_batches(batches, "text", 2 << 20):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or ""
                 if any(c in text for c in "\x1c\x1d\x1e\x1f"):
                     found = [WHOLE + text]
                 else:
                     found = text.split()
-                rows.append(np.fromiter((words.setdefault(w, len(words)) for w in found), np.int64, len(found)))
+                rows.append(np.fromiter((words.setdefault(w, len(words)) for w in found), np.int32, len(found)))
                 ids.append(doc_id)
                 size = len(text) if text.isascii() else len(text.encode())
                 sizes.append(size)
@@ -92,14 +93,13 @@ def _matrices(path: str):
 
 
 def _piece_counts(path: str):
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("int")
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoder(WordEncoder, path)
-        for batch in batches:
-            found = batch.column(0).to_pylist()
-            n = [len(enc.whole(p[len(WHOLE) :].removeprefix(WHOLE))) // 4 if p[0] == WHOLE else enc.count(p) for p in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], ["pretoken", "pieces"])
+        for found in batches:
+            yield pd.Series([len(enc.whole(p[len(WHOLE) :].removeprefix(WHOLE))) // 4 if p[0] == WHOLE else enc.count(p) for p in found], dtype="int32")
 
-    return counted
+    return pieces
 
 
 def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,8 +123,9 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
     """doc_id, n_bytes, n_tokens, over_limit for each row of ``docs`` (doc_id, text)."""
     matrices = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_matrices(vocabulary), _MATRIX), "pretoken-blocks")
     listed = matrices.select("block", F.posexplode("pretokens").alias("at", "pretoken"))
-    pieces = listed.select("pretoken").distinct().mapInArrow(_piece_counts(vocabulary), "pretoken string, pieces int")
-    # one row per block and pre-token: no pre-token has more rows than there are blocks
+    # one row per block and pre-token: no pre-token has more rows than there are blocks; dealt once for both uses
+    listed = listed.repartition("pretoken")
+    pieces = listed.select("pretoken").distinct().withColumn("pieces", _piece_counts(vocabulary)("pretoken"))
     vectors = listed.join(pieces, "pretoken").groupBy("block").agg(
         F.collect_list(F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("pieces").cast("long"))).alias("vector")
     )
