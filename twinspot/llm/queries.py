@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, near_dup, packing, substring_dedup, token_counts, token_files, transport
+from . import decontaminate, line_dedup, near_dup, packing, substring_dedup, token_counts, token_files, toxicity, transport
 from .common import table, tokenizer_path
 
 
@@ -29,6 +29,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
@@ -41,5 +45,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_transport_streams, op3_substring_dedup, op5_packing, op6_token_files, op8_token_counts, op9_line_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_transport_streams, op3_substring_dedup, op5_packing, op6_token_files, op7_toxicity, op8_token_counts, op9_line_dedup, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
