@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, near_dup, packing, substring_dedup, token_counts, token_files, toxicity, transport
+from . import decontaminate, language, line_dedup, near_dup, packing, substring_dedup, token_counts, token_files, toxicity, transport
 from .common import table, tokenizer_path
 
 
@@ -21,6 +21,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=1, room=2048)
 
@@ -45,5 +49,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_transport_streams, op3_substring_dedup, op5_packing, op6_token_files, op7_toxicity, op8_token_counts, op9_line_dedup, op10_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_near_duplicates,
+        op2_transport_streams,
+        op3_substring_dedup,
+        op4_language_id,
+        op5_packing,
+        op6_token_files,
+        op7_toxicity,
+        op8_token_counts,
+        op9_line_dedup,
+        op10_decontamination,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
