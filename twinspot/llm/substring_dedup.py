@@ -165,10 +165,8 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = (text or "").encode().split()
             kept = words
             if gone:
-                mark = np.zeros(len(words) + 1, np.int32)
-                for s in gone:
-                    mark[s["start"]] += 1
-                    mark[s["start"] + s["n"]] -= 1
+                starts = np.asarray(gone, np.int64)
+                mark = np.bincount(starts, minlength=len(words) + 1) - np.bincount(starts + WINDOW, minlength=len(words) + 1)
                 keep = np.cumsum(mark[:-1]) == 0
                 kept = [words[k] for k in np.flatnonzero(keep)]
             rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
@@ -176,8 +174,8 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, _text, spans: the word spans (start, n) that windows of earlier documents cover, where there are any."""
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """doc_id, _text, starts: the first words of the windows that an earlier document has, where there are any."""
     rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("_text"), "text").where(F.col("doc_id").isNotNull())
     found = written(rows.mapInArrow(_segmented, _SEGMENTS), "segments")
     shared = found.groupBy("route").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("route")
@@ -207,13 +205,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     older = members.join(all_firsts, ["route", "seg"]).select(
         "doc_id", "_text", F.filter(F.transform("firsts", lambda x, k: F.when(x < F.col("doc_id"), F.col("start") + k)), lambda x: x.isNotNull()).alias("at")
     ).where(F.size("at") > 0)
-    spans = F.transform("at", lambda x: F.struct(x.alias("start"), F.lit(WINDOW).alias("n")))
-    return older.groupBy("doc_id", "_text").agg(F.array_distinct(F.flatten(F.collect_list(spans))).alias("spans"))
+    # segments of a document hold different windows; rows that repeat only name the same starts again
+    return older.groupBy("doc_id", "_text").agg(F.flatten(F.collect_list("at")).alias("starts"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("_text"), "text")
-    spans = repeated_spans(docs).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_other"), "spans")
-    joined = rows.join(spans, (rows["doc_id"] == spans["_id"]) & (rows["_text"] == spans["_other"]), "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(_removed, _OUT)
+    found = repeated_windows(docs).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_other"), "starts")
+    joined = rows.join(found, (rows["doc_id"] == found["_id"]) & (rows["_text"] == found["_other"]), "left")
+    return joined.select("doc_id", "text", "starts").mapInArrow(_removed, _OUT)
