@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import corpus, evaluation, evidence, panels
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return panels.QUERIES | evidence.QUERIES | corpus.QUERIES | evaluation.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return panels.ORACLE_SQL | evidence.ORACLE_SQL | corpus.ORACLE_SQL | evaluation.ORACLE_SQL
