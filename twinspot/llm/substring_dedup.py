@@ -34,6 +34,9 @@ WINDOW, GRAM = 50, 8
 #: Words in a shard; bounds a task's memory.
 SHARD_WORDS = 300_000
 
+#: Shares into which the rows of one window are dealt.
+SHARES = 64
+
 _SEGMENTS = "doc_id bigint, _text bigint, route bigint, seg bigint, start int, n int"
 _WORDS = "route bigint, seg bigint, first_id bigint, n int, words binary"
 _FIRSTS = "route bigint, seg bigint, firsts array<bigint>"
@@ -196,7 +199,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
     each = written(worded.join(hot, "route", "left_semi").mapInArrow(_windows, "route bigint, seg bigint, first_id bigint, at int, h1 bigint, h2 bigint"), "windows")
     first_of = each.groupBy("h1", "h2").agg(F.min("first_id").alias("first"))
-    by_window = each.join(first_of, ["h1", "h2"]).groupBy("route", "seg").agg(F.array_sort(F.collect_list(F.struct("at", "first"))).alias("w"))
+    # one window may be in a large part of these rows: its answer is given to each of a few shares of them
+    shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))
+    salted = each.withColumn("share", F.pmod(F.xxhash64("seg"), F.lit(SHARES)).cast("int"))
+    by_window = salted.join(first_of.withColumn("share", shares), ["h1", "h2", "share"]).groupBy("route", "seg").agg(F.array_sort(F.collect_list(F.struct("at", "first"))).alias("w"))
     by_window = by_window.select("route", "seg", F.col("w.first").alias("firsts"))
 
     # where a segment is the only one of its route, all its windows are as old as it is
