@@ -1 +1,26 @@
+"""Structured Streaming: new events and figures as they come."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def windowed(events: DataFrame, width: str = "10 minutes") -> DataFrame:
+    """start, event_type, n, total of each window; ``events`` has ts, event_type, value, batch or stream."""
+    own = events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return own.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def event_stream(spark: SparkSession, folder: str, schema, late: str = "1 hour") -> DataFrame:
+    """Parquet files of events as they are put into a folder; what comes later than ``late`` is left out."""
+    return spark.readStream.schema(schema).parquet(folder).withWatermark("ts", late)
+
+
+def figure_stream(spark: SparkSession, folder: str, most_bytes: int, suffixes: tuple[str, ...] = ("png", "jpg", "jpeg", "tif", "tiff", "bmp")) -> DataFrame:
+    """path, digest, size, refused of each file put into a folder; refusals stay as rows with their reason."""
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
+    suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
+    refused = F.when(~suffix.isin(*suffixes), "suffix").when(F.col("length") == 0, "empty").when(F.col("length") > most_bytes, "too_large")
+    return files.select("path", F.sha2("content", 256).alias("digest"), F.col("length").alias("size"), refused.alias("refused"))
