@@ -126,7 +126,7 @@ def statistics(index: FMIndex, texts: list[np.ndarray], length: int):
             none = empty[matched[empty] == 0]
             new_lo[none], new_hi[none], matched[none] = 0, index.n, -1
             empty = empty[matched[empty] > 0]
-            for size in np.unique(matched[empty]):
+            for size in np.unique(matched[empty]).tolist():
                 some = empty[matched[empty] == size]
                 lo[some], hi[some] = widened(lo[some], size - 1) if size > 1 else (0, index.n)
                 matched[some] = size - 1

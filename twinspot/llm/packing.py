@@ -13,11 +13,11 @@ all partitions but not consecutive; offsets are gapless from 0 in each.
 
 from __future__ import annotations
 
-import array
 import heapq
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,19 +81,19 @@ def assign(lengths: list[int], room: int) -> list[list[tuple[int, int]]]:
     return out
 
 
-def _narrow(ids: bytes) -> bytes:
-    """Two bytes an id where that holds them all, as it does for vocabularies up to 65,536."""
-    wide = array.array("I", ids)
-    return array.array("H", wide).tobytes() if max(wide) < 1 << 16 else ids
+def _narrow(ids: bytes, two: bool) -> bytes:
+    """Two bytes an id where that holds the vocabulary."""
+    return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if two else ids
 
 
 def _wide(ids: bytes, n: int) -> bytes:
-    return ids if len(ids) == 4 * n else array.array("I", array.array("H", ids)).tobytes()
+    return ids if len(ids) == 4 * n else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
 
 
 def _tokenized(vocabulary: str, end_id: int, room: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(ByteEncoder, vocabulary), struct.pack("<I", end_id)
+        two = max(enc.tok.get_vocab_size(), end_id + 1) <= 1 << 16
         for batch in pieces_of_batches(batches, "text", 4 << 20):
             out: list[list] = [[], [], [], [], [], []]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -102,7 +102,7 @@ def _tokenized(vocabulary: str, end_id: int, room: int):
                 for at in range(0, n, room):
                     piece = ids[4 * at : 4 * (at + room)]
                     full = len(piece) == 4 * room
-                    for column, v in zip(out, (key, at, len(piece) // 4, ids_crc32(piece), n, None if full else _narrow(piece)), strict=True):
+                    for column, v in zip(out, (key, at, len(piece) // 4, ids_crc32(piece), n, None if full else _narrow(piece, two)), strict=True):
                         column.append(v)
             kinds = [pa.int64()] * 5 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [*_COLUMNS, "ids"])

@@ -42,6 +42,17 @@ def _usual(word: str) -> bool:
     return word.isascii() or max(word) < "İ"
 
 
+class _Known(dict):
+    """What pieces have been worked out; works out the others as they are asked for."""
+
+    def __init__(self, work):
+        self.work = work
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = got = self.work(piece)
+        return got
+
+
 class _Encoder:
     """ids(piece) with a bounded memory; a piece is a run without spaces, as the subclass cuts texts."""
 
@@ -49,7 +60,9 @@ class _Encoder:
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
         self.special = tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
-        self.known: dict[str, bytes] = {}
+        # each piece is asked for once here: the library's own memory would only cost
+        self.model._resize_cache(0)
+        self.known = _Known(self._ids)
 
     def _pieces(self, text: str) -> list[str]:
         raise NotImplementedError
@@ -62,19 +75,9 @@ class _Encoder:
 
     def encode(self, text: str) -> bytes:
         """All ids of a text as little-endian unsigned 32-bit integers."""
-        known, pieces = self.known, self._pieces(text)
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        out = list(map(known.get, pieces))
-        if None in out:
-            for i, got in enumerate(out):
-                if got is None:
-                    piece = pieces[i]
-                    got = known.get(piece)
-                    if got is None:
-                        known[piece] = got = self._ids(piece)
-                    out[i] = got
-        return b"".join(out)
+        if len(self.known) > CACHE_ENTRIES:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, self._pieces(text)))
 
     def _tokens(self, letters: str) -> list[int]:
         return [t.id for t in self.model.tokenize(letters)]
