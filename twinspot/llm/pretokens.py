@@ -14,7 +14,9 @@ import struct
 from tokenizers import Tokenizer
 
 #: Entries that a worker keeps before it starts anew; bounds its memory, changes no result.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 700_000
+#: Letters of a pre-token that is so short that it is kept by itself: punctuation, most of all.
+SHORT = 4
 
 _BLANKS = re.compile(r"\s (?:\s|\Z)")
 
@@ -37,6 +39,11 @@ def _letters(s: str) -> str:
     return s if s.isascii() else s.encode().decode("latin-1").translate(BYTE_LETTERS)
 
 
+def _all_letters(s: str) -> str:
+    """As _letters, for strings that may hold blanks and controls."""
+    return s.encode().decode("latin-1").translate(BYTE_LETTERS)
+
+
 def _usual(word: str) -> bool:
     """Of code points whose class, case and normal form no Unicode version has changed."""
     return word.isascii() or max(word) < "İ"
@@ -63,6 +70,7 @@ class _Encoder:
         # each piece is asked for once here: the library's own memory would only cost
         self.model._resize_cache(0)
         self.known = _Known(self._ids)
+        self.short: dict[str, list[int]] = {}
 
     def _pieces(self, text: str) -> list[str]:
         raise NotImplementedError
@@ -80,7 +88,14 @@ class _Encoder:
         return b"".join(map(self.known.__getitem__, self._pieces(text)))
 
     def _tokens(self, letters: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(letters)]
+        if len(letters) > SHORT:
+            return [t.id for t in self.model.tokenize(letters)]
+        got = self.short.get(letters)
+        if got is None:
+            if len(self.short) > CACHE_ENTRIES // 10:
+                self.short.clear()
+            self.short[letters] = got = [t.id for t in self.model.tokenize(letters)]
+        return got
 
 
 class WordEncoder(_Encoder):
@@ -146,15 +161,20 @@ class ByteEncoder(_Encoder):
                     at = end
         return out
 
+    #: The vocabulary's pre-tokens, for usual code points only: there, a word character is a letter, a digit or _.
+    pattern = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+    #: Numbers that are no digits, and controls that count as blanks here but not there.
+    _odd = re.compile("[\u00b2\u00b3\u00b9\u00bc-\u00be\x1c-\x1f]")
+
     def _ids(self, piece: str) -> bytes:
         word = piece[1:] if piece[0] == " " else piece
         if word.isalpha() and _usual(word):
-            ids = self._tokens(("Ġ" if piece[0] == " " else "") + _letters(word))
-        elif word[:-1].isalpha() and word[-1] in ".," and _usual(word):
-            ids = self._tokens(("Ġ" if piece[0] == " " else "") + _letters(word[:-1])) + self._tokens(word[-1])
-        else:
+            return _packed(self._tokens(("Ġ" if piece[0] == " " else "") + _letters(word)))
+        if word[:-1].isalpha() and word[-1] in ".," and _usual(word):
+            return _packed(self._tokens(("Ġ" if piece[0] == " " else "") + _letters(word[:-1])) + self._tokens(word[-1]))
+        if not _usual(piece) or self._odd.search(piece) or any(s in piece for s in self.special):
             return self.whole(piece)
-        return _packed(ids)
+        return _packed([i for p in self.pattern.findall(piece) for i in self._tokens(_all_letters(p))])
 
 
 _kept: dict[tuple[type, str], _Encoder] = {}
