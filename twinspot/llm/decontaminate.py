@@ -14,6 +14,7 @@ columns of either table are not read.
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,26 +63,25 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
     sought = distinct.select(F.col("n").alias("_n"), F.col("words").alias("_sought"))
     sought = sought.withColumn("_hash", F.coalesce(*[F.when(F.col("_n") == n, _hash_at(F.col("_sought"), F.lit(0), n)) for n in lengths]))
     texts = docs.select("doc_id", text_key().alias("_text"), words_of(F.col("text")).alias("_words"))
-    # the outer form only because Spark infers a filter from the other, which would cut every text twice
-    each = texts.select("doc_id", "_text", "_words", F.posexplode_outer("_words").alias("_at", "_word"))
-    fits = lambda n: F.col("_at") + n <= F.size("_words")
-    if len(lengths) == 1:
-        n = lengths[0]
-        each = each.where(fits(n)).withColumn("_hash", _hash_at(F.col("_words"), F.col("_at"), n)).withColumn("_len", F.lit(n))
-    else:
-        looks = [F.when(fits(n), F.struct(F.lit(n).alias("n"), _hash_at(F.col("_words"), F.col("_at"), n).alias("h"))) for n in lengths]
-        each = each.withColumn("_look", F.explode(F.array_compact(F.array(*looks))))
-        each = each.withColumn("_hash", F.col("_look.h")).withColumn("_len", F.col("_look.n"))
-    here = F.slice("_words", F.col("_at") + 1, F.col("_len"))
     # equal, in a form that stays a condition on the hash's matches and doesn't become a key worked out for every row
-    same = lambda a, b: (a >= b) & (a <= b) & (F.col("_n") == F.col("_len"))
-    if small:
-        found = each.drop("_word").join(F.broadcast(sought), "_hash").where(same(F.col("_sought"), here))
-    else:
-        each = each.select("doc_id", "_text", "_at", "_len", "_hash", here.alias("_here"))
-        found = each.join(sought, "_hash").where(same(F.col("_sought"), F.col("_here")))
+    same = lambda a, b: (a >= b) & (a <= b)
+
+    def of_length(n: int) -> DataFrame:
+        # the outer form only because Spark infers a filter from the other, which would cut every text twice
+        each = texts.select("doc_id", "_text", "_words", F.posexplode_outer("_words").alias("_at", "_word"))
+        each = each.where(F.col("_at") + n <= F.size("_words")).withColumn("_hash", _hash_at(F.col("_words"), F.col("_at"), n))
+        here, own = F.slice("_words", F.col("_at") + 1, n), sought.where(F.col("_n") == n)
+        if small:
+            # one stage from the text to the join: a word's row is never stored with the words that it refers to
+            found = each.join(F.broadcast(own), "_hash").where(same(F.col("_sought"), here))
+        else:
+            found = each.select("doc_id", "_text", "_at", "_hash", here.alias("_here")).join(own, "_hash").where(same(F.col("_sought"), F.col("_here")))
+        return found.select("doc_id", "_text", "_at", F.lit(n).alias("_len"), "_sought")
+
+    # items shorter than a window add a pass for each of their lengths
+    found = reduce(DataFrame.union, map(of_length, lengths))
     # hits are few; written, they are found once for both of the following
-    found = written(found.select("doc_id", "_text", "_at", "_len", "_sought"), "benchmark-hits")
+    found = written(found, "benchmark-hits")
 
     span = lambda x: F.sequence(x["_at"], x["_at"] + x["_len"] - 1)
     marked = found.groupBy("doc_id", "_text").agg(F.collect_set(F.struct("_at", "_len")).alias("_spans"))
@@ -124,10 +124,12 @@ def without_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the hit words, and what stands between a hit word and the next word, cut from the texts."""
-    keyed = docs.withColumn("_text", text_key())
-    joined = _same_row(keyed, hits(docs, benchmark, window).select("doc_id", "_text", "at"), "left")
-    words = F.regexp_extract_all("text", F.lit(_WORD_ANY_CASE), F.lit(1))
-    gaps = F.split("text", _WORD_ANY_CASE)
-    left = F.transform(words, lambda w, k: F.when(F.array_contains(F.col("at"), k), "").otherwise(F.concat(w, F.get(gaps, k + 1))))
-    cut = F.concat(F.get(gaps, F.lit(0)), F.array_join(left, ""))
-    return joined.withColumn("text", F.when(F.col("at").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
+    keyed = docs.withColumn("_key_of_text", text_key())
+    marks = hits(docs, benchmark, window).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_other"), F.col("at").alias("_hit_words"))
+    on = keyed["doc_id"].eqNullSafe(marks["_id"]) & keyed["_key_of_text"].eqNullSafe(marks["_other"])
+    at, text = marks["_hit_words"], keyed["text"]
+    words = F.regexp_extract_all(text, F.lit(_WORD_ANY_CASE), F.lit(1))
+    gaps = F.split(text, _WORD_ANY_CASE)
+    left = F.transform(words, lambda w, k: F.when(F.array_contains(at, k), "").otherwise(F.concat(w, F.get(gaps, k + 1))))
+    cut = F.when(at.isNull(), text).otherwise(F.concat(F.get(gaps, F.lit(0)), F.array_join(left, "")))
+    return keyed.join(marks, on, "left").select(*[cut.alias(c) if c == "text" else keyed[c] for c in docs.columns])
