@@ -62,14 +62,14 @@ def gutter_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_status_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
     last = rows.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("_ts"), F.count("*").alias("updates"))
-    return last.select("user_id", "status", F.unix_micros(F.col("_ts").cast("timestamp")).alias("at"), "updates")
+    return last.select("user_id", "status", F.unix_micros(F.col("_ts").cast("timestamp")).alias("at_us"), "updates")
 
 
 def job_ttl_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs whose last event lies an hour or more before the newest of all and isn't a running one."""
     last = job_status_latest(spark, sf_dir)
-    cutoff = last.agg((F.max("at") - 3_600_000_000).alias("cutoff"))
-    return last.crossJoin(cutoff).where((F.col("at") <= F.col("cutoff")) & (F.col("status") != "click")).select("user_id", "status")
+    cutoff = last.agg((F.max("at_us") - 3_600_000_000).alias("cutoff"))
+    return last.crossJoin(cutoff).where((F.col("at_us") <= F.col("cutoff")) & (F.col("status") != "click")).select("user_id", "status")
 
 
 def admission_load(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ QUERIES = {
     )
 }
 
-_LAST = "l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, epoch_us(max(ts)) AS at, count(*) AS updates FROM events GROUP BY user_id)"
+_LAST = "l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, epoch_us(max(ts)) AS at_us, count(*) AS updates FROM events GROUP BY user_id)"
 ORACLE_SQL = {
     "bench_metrics": """WITH o AS (SELECT source, quality = 1 AS p, toxic = 0 AND n_chars > 300 AS d FROM labels JOIN documents USING (doc_id)),
 c AS (SELECT source, count(*) AS cases, count(*) FILTER (p AND d) AS hit, count(*) FILTER (p) AS pos, count(*) FILTER (NOT p AND d) AS fp, count(*) FILTER (NOT p) AS neg FROM o GROUP BY source)
@@ -106,8 +106,8 @@ SELECT *, round(correct::DOUBLE / matches, 6) AS precision FROM c""",
     "gutter_runs": """WITH h AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1), m AS (SELECT median(n) AS m FROM h), low AS (SELECT hour, n FROM h, m WHERE n < 0.8 * m),
 r AS (SELECT *, epoch(hour)::BIGINT // 3600 - row_number() OVER (ORDER BY hour) AS run FROM low)
 SELECT epoch(min(hour))::BIGINT AS first, count(*) AS hours, sum(n)::BIGINT AS events FROM r GROUP BY run HAVING count(*) >= 2""",
-    "job_status_latest": f"WITH {_LAST} SELECT user_id, status, at, updates FROM l",
-    "job_ttl_expiry": f"WITH {_LAST} SELECT user_id, status FROM l WHERE at <= (SELECT max(at) - 3600000000 FROM l) AND status <> 'click'",
+    "job_status_latest": f"WITH {_LAST} SELECT user_id, status, at_us, updates FROM l",
+    "job_ttl_expiry": f"WITH {_LAST} SELECT user_id, status FROM l WHERE at_us <= (SELECT max(at_us) - 3600000000 FROM l) AND status <> 'click'",
     "admission_load": """WITH c AS (SELECT conv_id, count(*) AS turns, sum(length(text))::BIGINT AS chars, count(*) FILTER (role = 'user') AS asked FROM conversations GROUP BY conv_id)
 SELECT *, chars > 2000 AS refused FROM c""",
     "tumbling_events": "SELECT epoch(time_bucket(INTERVAL 10 MINUTE, ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL",

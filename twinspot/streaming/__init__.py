@@ -18,9 +18,12 @@ def event_stream(spark: SparkSession, folder: str, schema, late: str = "1 hour")
 
 
 def figure_stream(spark: SparkSession, folder: str, most_bytes: int, suffixes: tuple[str, ...] = ("png", "jpg", "jpeg", "tif", "tiff", "bmp")) -> DataFrame:
-    """path, digest, size, refused of each file put into a folder; refusals stay as rows with their reason."""
+    """path, digest, size, refused of each file put into a folder; refusals stay as rows with their reason.
+
+    Spark's file sources pass over files without a byte, so these give no row.
+    """
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
-    refused = F.when(~suffix.isin(*suffixes), "suffix").when(F.col("length") == 0, "empty").when(F.col("length") > most_bytes, "too_large")
+    refused = F.when(~suffix.isin(*suffixes), "suffix").when(F.col("length") > most_bytes, "too_large")
     return files.select("path", F.sha2("content", 256).alias("digest"), F.col("length").alias("size"), refused.alias("refused"))
