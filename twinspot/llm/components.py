@@ -2,8 +2,8 @@
 
 Each round writes its edges to the shared folder, so lineage stays short and a lost executor costs one round at
 most. A large-star links every larger neighbour of a node to the node's smallest neighbour, a small-star links the
-smaller ones and the node itself; both keep components as they are, and once neither changes the edges they are
-stars around each component's smallest node. A hub's neighbours are never gathered: the smallest neighbour comes
+smaller ones and the node itself; both keep components as they are, and they end in stars around each component's
+smallest node. A hub's neighbours are never gathered: the smallest neighbour comes
 from an aggregate with partial sums in every task, joined back to the edges.
 """
 
@@ -34,12 +34,11 @@ def _clean(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root for each node with an edge; ``edges`` has two columns of one ordered type."""
     a, b = edges.columns
-    now = written(_clean(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))), "edges")
-    mark = None
+    now = _clean(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")))
     while True:
         now = written(_clean(_small(_large(now))), "edges")
-        # stars stay as they are: as many edges, and the same sum of their hashes, mean an end
-        got = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if mark == (got["n"], got["h"]):
+        # stars: each node has one edge down, and none leads to a node that has one itself
+        down = now.groupBy("a").agg(F.count("*").alias("n"))
+        chained = now.select(F.col("b").alias("a")).join(down, "a", "left_semi")
+        if down.where("n > 1").select("a").union(chained).isEmpty():
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b"), F.col("b")).distinct())
-        mark = (got["n"], got["h"])
