@@ -33,27 +33,28 @@ def shared(listed: DataFrame) -> DataFrame:
 def links(members: DataFrame, test: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """a, b of linked nodes. ``test`` takes pairs (a, b) and returns those that are linked."""
     found = written(members.sparkSession.createDataFrame([], "a bigint, b bigint"), "links")
-    tested, tried, now, quiet = found, None, members.withColumn("root", F.col("node")), 0
+    tested, now, quiet = found, members.withColumn("root", F.col("node")), 0
     while True:
-        open_ = now.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
-        live = now.join(open_, "band", "left_semi")
-        # untried members come in falling order of (weight, node)
-        free = live if tried is None else live.join(tried, "band").where(F.struct("weight", "node") < F.col("pivot")).drop("pivot")
-        pivots = written(free.groupBy("band").agg(F.max(F.struct("weight", "node", "root")).alias("p")), "pivots")
-        pairs = live.join(pivots, "band").where((F.col("p.node") != F.col("node")) & (F.col("p.root") != F.col("root")))
-        pairs = pairs.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
-        if tried is not None:
-            seen = tested.select(F.col("a").alias("x"), F.col("b").alias("y"))
-            pairs = pairs.join(seen, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
-        pairs = written(pairs, "pairs")
+        # of the members that no round has had as a pivot yet; pairs with earlier pivots are done
+        pivots = now.groupBy("band").agg(F.max(F.struct("weight", "node", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        open_ = written(now.join(pivots.where("lo != hi").select("band", "p"), "band").where(F.col("node") != F.col("p.node")), "open")
+        pairs = open_.where(F.col("root") != F.col("p.root")).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
+        seen = tested.select(F.col("a").alias("x"), F.col("b").alias("y"))
+        pairs = written(pairs.join(seen, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti"), "pairs")
         if pairs.isEmpty():
-            return found
-        new = written(test(pairs), "links")
-        quiet = quiet + 1 if new.isEmpty() else 0
+            if open_.isEmpty():
+                return found
+            new, none = pairs, True
+        else:
+            new = written(test(pairs), "links")
+            none = new.isEmpty()
+            quiet = quiet + 1 if none else 0
+            tested = tested.union(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         if quiet == QUIET_ROUNDS:
             return found
+        rest = open_.select("band", "node", "weight", F.col("root").alias("_root"))
+        if none:
+            now = rest.withColumnRenamed("_root", "root")
+            continue
         found = found.union(new)
-        tested = tested.union(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        tried = pivots.select("band", F.struct("p.weight", "p.node").alias("pivot"))
-        now = members.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        now = written(now.select("band", "node", "weight", "root"), "members")
+        now = written(rest.join(components(found), "node", "left").select("band", "node", "weight", F.coalesce("root", "_root").alias("root")), "members")
