@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import functions as X
 from ..sources import table
 
-NAN = F.lit(float("nan"))
+NAN = float("nan")
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def _metrics() -> list:
     return [
         F.count("*").alias("cases"),
         F.round(X.ratio(hit, pos, F.lit(0.0)), 6).alias("recall"),
-        F.round(X.ratio(false, neg, NAN), 6).alias("fpr"),
-        F.round(X.ratio(hit, hit + false, NAN), 6).alias("precision"),
+        F.round(X.ratio(false, neg, F.lit(NAN)), 6).alias("fpr"),
+        F.round(X.ratio(hit, hit + false, F.lit(NAN)), 6).alias("precision"),
     ]
 
 
