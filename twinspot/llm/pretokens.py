@@ -14,7 +14,7 @@ import struct
 from tokenizers import Tokenizer
 
 #: Entries that a worker keeps before it starts anew; bounds its memory, changes no result.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 1_500_000
 #: Letters of a pre-token that is so short that it is kept by itself: punctuation, most of all.
 SHORT = 4
 
@@ -92,7 +92,7 @@ class _Encoder:
             return [t.id for t in self.model.tokenize(letters)]
         got = self.short.get(letters)
         if got is None:
-            if len(self.short) > CACHE_ENTRIES // 10:
+            if len(self.short) > CACHE_ENTRIES // 20:
                 self.short.clear()
             self.short[letters] = got = [t.id for t in self.model.tokenize(letters)]
         return got
