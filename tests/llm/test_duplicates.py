@@ -12,8 +12,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from twinspot.llm import components, decontaminate, line_dedup, near_dup, substring_dedup
+from twinspot.llm import buckets, components, decontaminate, line_dedup, near_dup, substring_dedup
 from twinspot.llm.fm_index import FMIndex, statistics
 from twinspot.llm.line_dedup import SHORT, keys, within
 
@@ -124,6 +125,35 @@ def test_linked_lines_share_a_key():
             assert keys(a) & keys(b)
 
 
+def test_hot_bucket_of_unlinked_lines(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    first, rows = word(20), []
+    for k in range(0, 4000, 2):
+        middle, last = word(20), word(20)
+        rows.append((k, first + middle + last))
+        # every 400th has a partner with an edit in each of the other thirds, so that only the hot segment is common
+        planted = k % 400 == 0
+        rows.append((k + 1, first + middle[:10] + "X" + middle[11:] + last[:10] + "X" + last[11:] if planted else first + word(40)))
+    got = line_dedup.line_figures(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(r["doc_id"] for r in got.where("n_near > 0").collect()) == [k + 1 for k in range(0, 4000, 400)]
+
+
+def test_hot_bucket_of_unlinked_texts(spark):
+    rng = random.Random(12)
+    texts = {k: [rng.randint(0, 10**9) for _ in range(12)] for k in range(3000)}
+    for k in range(0, 3000, 300):
+        texts[k + 1] = [-1, *texts[k][1:]]
+    rows = spark.createDataFrame([(k, " ".join(f"w{x}" for x in t)) for k, t in texts.items()], "node long, text string")
+    sets = {k: _shingles(" ".join(f"w{x}" for x in t)) for k, t in texts.items()}
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    test = lambda pairs: spark.createDataFrame([tuple(r) for r in pairs.collect() if alike(*r)], "a long, b long")
+    items = lambda nodes: rows.join(nodes, "node", "left_semi").mapInArrow(near_dup._items(75), "node bigint, item bigint, need int")
+    members = rows.select(F.lit(1).cast("long").alias("band"), "node", F.lit(3000).cast("long").alias("weight"))
+    got = buckets.links(members, test, items).collect()
+    assert {tuple(sorted(r)) for r in got} == {(k, k + 1) for k in range(0, 3000, 300)}
+
+
 def test_repeated_lines(odd, odd_rows):
     lines, classes = {}, Sets()
     for r in sorted(set(odd_rows), key=lambda r: (r[0] is None, r[0] or 0)):

@@ -1,24 +1,29 @@
-"""Links between members of shared buckets, without listing a bucket's pairs.
+"""Links between members of shared buckets, without listing a large bucket's pairs.
 
-Each round, a bucket tests its members against one pivot: the member with the most neighbours over all its buckets,
-then the next of those not yet tried. Members that lie in the pivot's component by now need no test. Rounds go on
-until no bucket has two components left to compare, or ``QUIET_ROUNDS`` rounds in a row add no link. That rule is
-not a proof: two nodes stay apart if they meet only in buckets of other pivots and no other node joins them.
-README.md has what was measured against brute force.
+First come ``ROUNDS`` rounds. In each, a bucket tests its members against one pivot: the member with the most
+neighbours over all its buckets, then the next of those not yet tried. Members that lie in the pivot's component by
+now need no test. Large groups become one component in this way.
+
+What then still is in a bucket of two components or more gets finer buckets, by items: each linked pair shares an
+item among the rarest few of both nodes (prefix filter), so all pairs of two components within a finer bucket are
+tested, and no linked pair is left out. Nothing caps the sizes of buckets or the number of pairs; nodes that share
+their rarest items and are not linked cost a test for each pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 from .components import components
 
-#: Rounds in a row without a link after which the search ends.
-QUIET_ROUNDS = 2
+#: Rounds with pivots before the rest is tested pair by pair in finer buckets.
+ROUNDS = 4
+#: Members of a finer bucket that one task lists against as many.
+BLOCK = 500
 
 
 def shared(listed: DataFrame) -> DataFrame:
@@ -30,31 +35,63 @@ def shared(listed: DataFrame) -> DataFrame:
     return written(members.select("band", "node").join(central, "node").distinct(), "members")
 
 
-def links(members: DataFrame, test: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """a, b of linked nodes. ``test`` takes pairs (a, b) and returns those that are linked."""
+def _finer(items: DataFrame, roots: DataFrame) -> DataFrame:
+    """band, node, root: each node under the rarest of its items. ``items`` has node, item, need."""
+    # an item of one node alone takes a place among the rarest, but makes no bucket
+    uses = items.groupBy("item").agg(F.count("*").alias("uses"))
+    rarest = Window.partitionBy("node").orderBy("uses", "item")
+    placed = items.join(uses, "item").withColumn("place", F.row_number().over(rarest))
+    return placed.where("place <= need and uses > 1").select(F.col("item").alias("band"), "node").join(roots, "node")
+
+
+def _cross_pairs(members: DataFrame) -> DataFrame:
+    """a, b: all pairs of one bucket with two roots. Blocks of a large bucket are dealt to tasks pair by pair."""
+    sizes = members.groupBy("band").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = members.join(sizes.where("lo != hi").select("band", blocks.alias("blocks")), "band")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = dealt.where("own <= other").select("band", F.col("own").alias("i"), F.col("other").alias("j"), F.col("node").alias("a"), F.col("root").alias("root_a"))
+    right = dealt.where("other <= own").select("band", F.col("other").alias("i"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("root").alias("root_b"))
+    pairs = left.join(right, ["band", "i", "j"]).where("root_a != root_b and (i < j or a < b)")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def links(members: DataFrame, test: Callable[[DataFrame], DataFrame], items: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """a, b of linked nodes, enough for all components.
+
+    ``test`` takes pairs (a, b) and returns those that are linked. ``items`` takes nodes and returns node, item, need:
+    each node's distinct items, and of how many of its rarest ones a linked node shares one among its own rarest.
+    """
     found = written(members.sparkSession.createDataFrame([], "a bigint, b bigint"), "links")
-    tested, now, quiet = found, members.withColumn("root", F.col("node")), 0
-    while True:
+    tested, now = found, members.withColumn("root", F.col("node"))
+    for _ in range(ROUNDS):
         # of the members that no round has had as a pivot yet; pairs with earlier pivots are done
         pivots = now.groupBy("band").agg(F.max(F.struct("weight", "node", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"))
         open_ = written(now.join(pivots.where("lo != hi").select("band", "p"), "band").where(F.col("node") != F.col("p.node")), "open")
         pairs = open_.where(F.col("root") != F.col("p.root")).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
-        seen = tested.select(F.col("a").alias("x"), F.col("b").alias("y"))
-        pairs = written(pairs.join(seen, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti"), "pairs")
+        pairs = written(_untested(pairs, tested), "pairs")
         if pairs.isEmpty():
             if open_.isEmpty():
                 return found
-            new, none = pairs, True
+            none = True
         else:
             new = written(test(pairs), "links")
             none = new.isEmpty()
-            quiet = quiet + 1 if none else 0
             tested = tested.union(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        if quiet == QUIET_ROUNDS:
-            return found
         rest = open_.select("band", "node", "weight", F.col("root").alias("_root"))
         if none:
             now = rest.withColumnRenamed("_root", "root")
             continue
         found = found.union(new)
         now = written(rest.join(components(found), "node", "left").select("band", "node", "weight", F.coalesce("root", "_root").alias("root")), "members")
+    apart = now.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    roots = written(now.join(apart, "band", "left_semi").select("node", "root").distinct(), "roots")
+    if roots.isEmpty():
+        return found
+    finer = written(_finer(items(roots.select("node")), roots), "finer")
+    return found.union(written(test(written(_untested(_cross_pairs(finer), tested), "pairs")), "links"))
+
+
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    seen = tested.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    return pairs.join(seen, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")

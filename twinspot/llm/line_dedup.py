@@ -5,7 +5,8 @@ Two lines are linked if at most ``EDITS`` edits of one code point lead from one
 the longer one holds some segment of the shorter one unchanged, near its place. So each line is listed under its own
 segments and under those of its substrings that a line of equal or slightly smaller length could have as a segment,
 both keyed with that length and the segment's number. Lines that share a key are candidates; buckets.py picks the
-pairs to test, and a banded bit-parallel edit distance decides. Linked lines form classes, of which only the first
+pairs to test, in large buckets with the help of runs of ``GRAM`` code points, and a banded bit-parallel edit distance
+decides. Linked lines form classes, of which only the first
 line stays: the one of smallest (doc_id, hash of the text, line number), null ids last.
 
 Lines end at a newline; blank ones stay always. A null text has no lines and stays null, an empty text is one blank
@@ -27,6 +28,8 @@ from .common import pieces_of_batches, text_key, written
 from .components import components
 
 EDITS, SHORT = 2, 24
+#: An edit changes this many runs at most; a line of ``SHORT`` code points has more runs than ``EDITS`` edits change.
+GRAM = 6
 #: Distinct lines that a task remembers, so as to list each once.
 _SEEN = 400_000
 
@@ -152,6 +155,23 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines)], ["node", "line"])
 
 
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each line's runs of GRAM code points; a run's repeats count as runs of their own."""
+    for batch in pieces_of_batches(batches, "line", 1 << 20):
+        nodes, items = [], []
+        for node, line in zip(*(batch.column(batch.schema.names.index(x)).to_pylist() for x in ("node", "line")), strict=True):
+            uses: dict[str, int] = {}
+            own = set()
+            for k in range(len(line) - GRAM + 1):
+                gram = line[k : k + GRAM]
+                uses[gram] = nth = uses.get(gram, -1) + 1
+                own.add(xxhash.xxh3_64_intdigest(gram.encode(), seed=nth) - (1 << 63))
+            nodes += [node] * len(own)
+            items += own
+        need = pa.array([EDITS * GRAM + 1] * len(nodes), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(items, pa.int64()), need], ["node", "item", "need"])
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces_of_batches(batches, "line_b", 4 << 20):
         names = batch.schema.names
@@ -173,7 +193,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     on = rows["doc_id"].eqNullSafe(asked["_id"]) & rows["_text"].eqNullSafe(asked["_other"])
     texts = written(rows.join(asked, on).select("text", "asked").mapInArrow(_asked, "node bigint, line string").dropDuplicates(["node"]), "bucket-lines")
     left, right = (texts.select(F.col("node").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
-    found = components(links(members, lambda pairs: pairs.join(right, "b").join(left, "a").mapInArrow(_near, "a bigint, b bigint")))
+    test = lambda pairs: pairs.join(right, "b").join(left, "a").mapInArrow(_near, "a bigint, b bigint")
+    items = lambda nodes: texts.join(nodes, "node", "left_semi").mapInArrow(_grams, "node bigint, item bigint, need int")
+    found = components(links(members, test, items))
 
     classed = exact.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = classed.groupBy("root").agg(F.min("first").alias("kept"), F.sum("uses").alias("uses")).where("uses > 1")

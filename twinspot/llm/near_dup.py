@@ -5,7 +5,7 @@ as one. Texts with one set are one node, so copies cost a row each and no pairs.
 minima of universal hashes ``a * x + b``; nodes that agree on all minima of a band share a bucket. A pair at the
 threshold of 0.85 misses all buckets with a probability under 1e-6.
 
-Pairs within a bucket are never listed; buckets.py tells how links are found and when that ends. A tested pair is
+buckets.py tells which pairs of a bucket are tested, in large buckets with the help of rare shingles. A tested pair is
 linked if its signatures agree often enough and then ``100 * |A & B| >= percent * |A | B|`` holds on the full sets.
 
 A null or empty text, or one of blanks, has an empty set and is linked with nothing. A null doc_id takes part;
@@ -112,6 +112,21 @@ def _linked(percent: int):
     return link
 
 
+def _items(percent: int):
+    """Each text's shingles; two linked texts share one of the rarest ``need`` of each."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of_batches(batches, "text", 1 << 20):
+            found, at = shingles(*buffers(batch.column(batch.schema.names.index("text"))))
+            size = np.diff(at)
+            node = np.asarray(batch.column(batch.schema.names.index("node")))
+            need = size - (percent * size + 99) // 100 + 1
+            columns = [pa.array(np.repeat(node, size), pa.int64()), pa.array(found.view(np.int64)), pa.array(np.repeat(need, size), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "item", "need"])
+
+    return listed
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, _text, node for each row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("_text"), "text")
@@ -121,9 +136,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     listed = nodes.select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("band"))
     members = shared(listed.select("band", "node"))
-    test = _test(rows, nodes, classes, members.select("node").distinct(), percent)
+    test, items = _test(rows, nodes, classes, members.select("node").distinct(), percent)
 
-    found = components(links(members, test))
+    found = components(links(members, test, items))
     mapped = classes.select("node", "first_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = mapped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_node = mapped.select("node", "root").join(least, "root").select("node", "component_id")
@@ -142,7 +157,9 @@ def _test(rows: DataFrame, nodes: DataFrame, classes: DataFrame, wanted: DataFra
     texts = written(texts.join(signatures, "node"), "bucket-texts")
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"), F.col("signature").alias("sig_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"), F.col("signature").alias("sig_b"))
-    return lambda pairs: pairs.join(right, "b").join(left, "a").mapInArrow(_linked(percent), "a bigint, b bigint")
+    test = lambda pairs: pairs.join(right, "b").join(left, "a").mapInArrow(_linked(percent), "a bigint, b bigint")
+    items = lambda nodes: texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(_items(percent), "node bigint, item bigint, need int")
+    return test, items
 
 
 def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
