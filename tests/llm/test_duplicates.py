@@ -58,6 +58,19 @@ def test_near_duplicates(odd, odd_rows):
     assert sorted(x for x in kept if x is not None) == [1, 5, 6, 7, 8, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19]
 
 
+def test_pipeline_drops_near_copies_from_080_on(spark):
+    import corpus_pipeline
+
+    rng, rows = random.Random(8), []
+    for k in range(0, 40, 2):
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(104)]
+        rows += [(k, " ".join(words)), (k + 1, " ".join([*words[:94], *(f"x{k}y{j}" for j in range(10))]))]
+    assert len(_shingles(rows[0][1]) & _shingles(rows[1][1])) / len(_shingles(rows[0][1]) | _shingles(rows[1][1])) == 90 / 110
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == list(range(0, 40, 2))
+    assert near_dup.near_duplicates(docs, percent=85).where("kept").count() == 40
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

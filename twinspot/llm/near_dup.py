@@ -1,9 +1,9 @@
 """MinHash near-dedup: many universal hash minima, banding, verification, connected components.
 
 A text's set holds its distinct shingles of ``SHINGLE`` words (A-Z in lower case); with fewer words, all of them
-as one. Texts with one set are one node, so copies cost a row each and no pairs. Each node has ``BANDS * ROWS``
-minima of universal hashes ``a * x + b``; nodes that agree on all minima of a band share a bucket. A pair at the
-threshold of 0.85 misses all buckets with a probability under 1e-6.
+as one. Texts with one set are one node, so copies cost a row each and no pairs. Each node has ``bands * ROWS``
+minima of universal hashes ``a * x + b``; nodes that agree on all minima of a band share a bucket. There are so many
+bands that a pair at the threshold misses all buckets with a probability under ``MISS``: 35 at 80 percent.
 
 buckets.py tells which pairs of a bucket are tested, in large buckets with the help of rare shingles. A tested pair is
 linked if its signatures agree often enough and then ``100 * |A & B| >= percent * |A | B|`` holds on the full sets.
@@ -14,6 +14,7 @@ its component has the smallest id of the others, or null. Repeated rows come out
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +28,19 @@ from .common import buffers, pieces_of_batches, text_key, written
 from .components import components
 
 SHINGLE, ROWS, BANDS = 5, 5, 26
+#: Probability at which a pair at the threshold may share no bucket; ``BANDS`` is the least number of bands.
+MISS = 1e-6
 #: Standard errors below the threshold at which a signature still passes.
 SLACK = 5.0
 
 _SKETCH = "doc_id bigint, _text bigint, n_shingles bigint, node bigint, signature binary, bands array<bigint>"
 
 
+def bands_for(percent: int) -> int:
+    apart = 1 - (percent / 100) ** ROWS
+    return max(BANDS, math.ceil(math.log(MISS) / math.log(apart))) if 0 < apart < 1 else BANDS
+
+
 def _universal(n: int, seed: int = 20_231) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     return rng.integers(0, 2**64, n, np.uint64) | np.uint64(1), rng.integers(0, 2**64, n, np.uint64)
@@ -59,34 +67,37 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
     return found[new], np.searchsorted(doc[new], np.arange(n + 1))
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    mul, add = _universal(ROWS * BANDS)
-    turn = np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for batch in pieces_of_batches(batches, "text", 1 << 20):
-        found, at = shingles(*buffers(batch.column(2)))
-        size = np.diff(at)
-        full = np.flatnonzero(size)
-        x, begin = found >> np.uint64(32), at[:-1][full]
-        minima = np.zeros((len(full), ROWS * BANDS), np.uint32)
-        node = np.zeros(len(full), np.uint64)
-        if len(full):
-            for k in range(ROWS * BANDS):
-                minima[:, k] = np.minimum.reduceat(x * mul[k] + add[k], begin) >> np.uint64(32)
-            node = wordhash.mix(np.add.reduceat(wordhash.mix(found), begin) ^ size[full].astype(np.uint64))
-        rows = minima.reshape(len(full), BANDS, ROWS).astype(np.uint64)
-        keys = wordhash.mix((wordhash.mix(rows + turn)).sum(axis=2) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-        signature, nodes, bands = [None] * len(size), [None] * len(size), [None] * len(size)
-        for r, k in enumerate(full):
-            signature[k], nodes[k], bands[k] = minima[r].tobytes(), int(node[r].astype(np.int64)), keys[r].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(nodes, pa.int64()),
-            pa.array(signature, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
-        ], ["doc_id", "_text", "n_shingles", "node", "signature", "bands"])
+def _sketched(n_bands: int):
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mul, add = _universal(ROWS * n_bands)
+        turn = np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for batch in pieces_of_batches(batches, "text", 1 << 20):
+            found, at = shingles(*buffers(batch.column(2)))
+            size = np.diff(at)
+            full = np.flatnonzero(size)
+            x, begin = found >> np.uint64(32), at[:-1][full]
+            minima = np.zeros((len(full), ROWS * n_bands), np.uint32)
+            node = np.zeros(len(full), np.uint64)
+            if len(full):
+                for k in range(ROWS * n_bands):
+                    minima[:, k] = np.minimum.reduceat(x * mul[k] + add[k], begin) >> np.uint64(32)
+                node = wordhash.mix(np.add.reduceat(wordhash.mix(found), begin) ^ size[full].astype(np.uint64))
+            rows = minima.reshape(len(full), n_bands, ROWS).astype(np.uint64)
+            keys = wordhash.mix((wordhash.mix(rows + turn)).sum(axis=2) + np.arange(n_bands, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+            signature, nodes, bands = [None] * len(size), [None] * len(size), [None] * len(size)
+            for r, k in enumerate(full):
+                signature[k], nodes[k], bands[k] = minima[r].tobytes(), int(node[r].astype(np.int64)), keys[r].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(nodes, pa.int64()),
+                pa.array(signature, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
+            ], ["doc_id", "_text", "n_shingles", "node", "signature", "bands"])
+
+    return sketch
 
 
 def _linked(percent: int):
-    share = percent / 100
-    least = int(ROWS * BANDS * max(0.0, share - SLACK * np.sqrt(share * (1 - share) / (ROWS * BANDS))))
+    share, n = percent / 100, ROWS * bands_for(percent)
+    least = int(n * max(0.0, share - SLACK * np.sqrt(share * (1 - share) / n)))
 
     def set_of(text: str) -> np.ndarray:
         data = np.frombuffer(text.encode(), np.uint8)
@@ -127,10 +138,10 @@ def _items(percent: int):
     return listed
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, _text, node for each row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("_text"), "text")
-    sketched = written(rows.mapInArrow(_sketched, _SKETCH), "sketches")
+    sketched = written(rows.mapInArrow(_sketched(bands_for(percent)), _SKETCH), "sketches")
     nodes = sketched.where(F.col("node").isNotNull())
     classes = nodes.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "_text")).alias("rep"))
 
@@ -162,7 +173,7 @@ def _test(rows: DataFrame, nodes: DataFrame, classes: DataFrame, wanted: DataFra
     return test, items
 
 
-def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One row of each group: that of the smallest doc_id, with all its columns. Empty texts stay."""
     found = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_other")).distinct()
     keyed = docs.withColumn("_key_of_text", text_key())
