@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, _id int, band double, words string, at int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, _id int, band double, words string, at int, _key_of_text long, _gone string, row int, gone int"
 
 
 def _words(rng: random.Random, n: int) -> str:
@@ -24,8 +24,8 @@ def odd_rows():
         13: "a  b \n\n c\r\n d\x0b\x0ce", 14: "don't stop İstanbul ß 中文 😀 <|endoftext|> \x1c x", 15: "a " * 400, 16: _words(rng, 20_000),
         17: "A line that is just long enough, really.\nother", 18: "A line that is just long enogh, really.\nmore", 19: "\n".join(["same line of text here"] * 5),
     }
-    rows = [(k, t, "en" if k % 2 else "de", f"s{k % 3}", len(t or ""), "n", k, 0.5, "w", k) for k, t in texts.items()]
-    rows += [rows[0], rows[10], (None, base, None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None)]
+    rows = [(k, t, "en" if k % 2 else "de", f"s{k % 3}", len(t or ""), "n", k, 0.5, "w", k, -k, "g", k, k) for k, t in texts.items()]
+    rows += [rows[0], rows[10], (None, base, *[None] * 12), (None,) * 14]
     return rows
 
 

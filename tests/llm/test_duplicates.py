@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from twinspot.llm import buckets, components, decontaminate, line_dedup, near_dup, substring_dedup
 from twinspot.llm.fm_index import FMIndex, statistics
-from twinspot.llm.line_dedup import SHORT, keys, within
+from twinspot.llm.line_dedup import EDITS, PER, allowed, early, keys, within
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -125,19 +125,43 @@ def test_banded_distance(a, b, edits):
     assert within(a, b, edits) == (_distance(a, b) <= edits)
 
 
+def _edited(rng, a):
+    b = list(a)
+    for _ in range(rng.randint(0, EDITS)):
+        k = rng.randint(0, len(b))
+        b[k : k + rng.randint(0, 1)] = rng.choice(["", "x"])
+    return "".join(b)
+
+
 def test_linked_lines_share_a_key():
     rng = random.Random(3)
-    for _ in range(1500):
-        a = "".join(rng.choice("abcdé") for _ in range(rng.randint(SHORT, 60)))
-        b = list(a)
-        for _ in range(rng.randint(0, 2)):
-            k = rng.randint(0, len(b))
-            b[k : k + rng.randint(0, 1)] = rng.choice(["", "x"])
-        b = "".join(b)
-        if len(b) >= SHORT:
+    for _ in range(3000):
+        a = "".join(rng.choice("abcdé") for _ in range(rng.randint(PER, 60)))
+        b = _edited(rng, a)
+        if within(a, b, allowed(min(len(a), len(b)))):
             assert keys(a) & keys(b)
 
 
+def test_linked_lines_share_an_early_run():
+    rng = random.Random(4)
+    n = line_dedup.GRAM
+
+    def runs(line, uses):
+        grams = [line[k : k + n] for k in range(len(line) - n + 1)]
+        first, apart = early(np.asarray([uses[g] for g in grams]), np.asarray([hash(g) for g in grams]), np.arange(len(grams)), allowed(len(line)))
+        return {(grams[k], int(k)) for k in first}, {(grams[k], k) for k in apart}
+
+    for _ in range(2000):
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(PER, 70)))
+        b = _edited(rng, a)
+        if a == b or not within(a, b, allowed(min(len(a), len(b)))):
+            continue
+        uses = defaultdict(lambda: rng.randint(1, 5))
+        (first_a, apart_a), (first_b, apart_b) = runs(a, uses), runs(b, uses)
+        near = lambda own, other: any(g == h and abs(i - j) <= EDITS for g, i in own for h, j in other)
+        assert near(apart_a, first_b) or near(apart_b, first_a)
+
+
 def test_hot_bucket_of_unlinked_lines(spark):
     rng = random.Random(11)
     word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
@@ -153,18 +177,46 @@ def test_hot_bucket_of_unlinked_lines(spark):
 
 
 def test_hot_bucket_of_unlinked_texts(spark):
+    """3,000 texts of one bucket, ten planted pairs among them; each shingle is in some twenty texts, so that none is rare."""
     rng = random.Random(12)
-    texts = {k: [rng.randint(0, 10**9) for _ in range(12)] for k in range(3000)}
+    texts = {k: " ".join(rng.choice("abcdef") for _ in range(60)) for k in range(3000)}
     for k in range(0, 3000, 300):
-        texts[k + 1] = [-1, *texts[k][1:]]
-    rows = spark.createDataFrame([(k, " ".join(f"w{x}" for x in t)) for k, t in texts.items()], "node long, text string")
-    sets = {k: _shingles(" ".join(f"w{x}" for x in t)) for k, t in texts.items()}
+        texts[k + 1] = f"x {texts[k][2:]}"
+    sets = {k: _shingles(t) for k, t in texts.items()}
     alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
-    test = lambda pairs: spark.createDataFrame([tuple(r) for r in pairs.collect() if alike(*r)], "a long, b long")
-    items = lambda nodes: rows.join(nodes, "node", "left_semi").mapInArrow(near_dup._items(75), "node bigint, item bigint, need int")
-    members = rows.select(F.lit(1).cast("long").alias("band"), "node", F.lit(3000).cast("long").alias("weight"))
-    got = buckets.links(members, test, items).collect()
-    assert {tuple(sorted(r)) for r in got} == {(k, k + 1) for k in range(0, 3000, 300)}
+    name = lambda k: k.to_bytes(2, "big")
+    rows = spark.createDataFrame([(name(k), t) for k, t in texts.items()], "node binary, text string")
+    tested = []
+
+    def test(pairs):
+        tested.extend((int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big")) for r in pairs.collect())
+        return pairs.where(F.udf(lambda a, b: alike(int.from_bytes(a, "big"), int.from_bytes(b, "big")), "boolean")("a", "b"))
+
+    members = rows.select(F.lit(1).cast("long").alias("band"), "node")
+    got = {int.from_bytes(r["node"], "big"): int.from_bytes(r["root"], "big") for r in buckets.linked_roots(members, test, *near_dup._rarest(rows, 75)).collect()}
+    assert {(k, v) for k, v in got.items() if k != v} == {(k + 1, k) for k in range(0, 3000, 300)}
+    assert len(tested) < 3000 * 2999 // 2 // 20
+
+
+def test_bucket_of_loosely_linked_texts(spark):
+    """A chain in which only neighbours are linked, all in one bucket, and texts that hang on it nowhere."""
+    words = [f"w{k}" for k in range(5000)]
+    texts = {k: " ".join(words[k * 3 : k * 3 + 100]) for k in range(400)} | {k: " ".join(f"v{k}x{j}" for j in range(90)) for k in range(400, 500)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = docs.select(F.col("doc_id").cast("string").cast("binary").alias("node"), "text")
+    sets = {k: _shingles(t) for k, t in texts.items()}
+    alike = lambda a, b: 100 * len(sets[int(a)] & sets[int(b)]) >= 85 * len(sets[int(a)] | sets[int(b)])
+    test = lambda pairs: pairs.where(F.udf(lambda a, b: alike(bytes(a), bytes(b)), "boolean")("a", "b"))
+    got = buckets.linked_roots(rows.select(F.lit(1).cast("long").alias("band"), "node"), test, *near_dup._rarest(rows, 85)).collect()
+    assert {int(bytes(r["node"])) for r in got} == set(range(400)) and len({bytes(r["root"]) for r in got}) == 1
+
+
+def test_sides_of_pairs_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(buckets, "SHARE", 7)
+    values = spark.createDataFrame([(bytes([k]), f"t{k}") for k in range(100)], "node binary, text string")
+    pairs = spark.createDataFrame([(b"\x00", bytes([k]), b"", b"") for k in range(1, 100)] + [(b"\x01", b"\x02", b"", b"")], buckets.LINK)
+    got = sorted((r["a"][0], r["b"][0], r["text_a"], r["text_b"]) for r in buckets.paired(pairs, values).collect())
+    assert got == [(0, k, "t0", f"t{k}") for k in range(1, 100)] + [(1, 2, "t1", "t2")]
 
 
 def test_repeated_lines(odd, odd_rows):
@@ -175,7 +227,7 @@ def test_repeated_lines(odd, odd_rows):
                 lines.setdefault(line, (r[0] is None, r[0], k))
     for a in lines:
         for b in lines:
-            if a == b or (min(len(a), len(b)) >= SHORT and within(a, b)):
+            if a == b or within(a, b, allowed(min(len(a), len(b)))):
                 classes.join(a, b)
     first = {}
     for line, place in lines.items():

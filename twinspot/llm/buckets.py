@@ -1,97 +1,160 @@
 """Links between members of shared buckets, without listing a large bucket's pairs.
 
-First come ``ROUNDS`` rounds. In each, a bucket tests its members against one pivot: the member with the most
-neighbours over all its buckets, then the next of those not yet tried. Members that lie in the pivot's component by
-now need no test. Large groups become one component in this way.
-
-What then still is in a bucket of two components or more gets finer buckets, by items: each linked pair shares an
-item among the rarest few of both nodes (prefix filter), so all pairs of two components within a finer bucket are
-tested, and no linked pair is left out. Nothing caps the sizes of buckets or the number of pairs; nodes that share
-their rarest items and are not linked cost a test for each pair.
+Buckets of up to ``SMALL`` members test all their pairs, which are at most so many times their members.
+
+Larger ones come to rounds of stars: each tests its members against one of them. Links found are contracted
+to roots at once, so that a round works on the buckets that still hold two roots and on new edges between roots only.
+Large groups become one component in this way. Rounds end when stars find few links. Nodes that then still share a
+large bucket with another root are searched by finer keys. The caller deals each of them
+under its rarest items, so that two linked nodes meet in some finer bucket, whatever the
+size of the first one. Where finer buckets have many pairs, they too are contracted by stars; then all their pairs of
+two roots are tested. Nothing caps the sizes of buckets or the number of pairs, and how many rounds of stars there are
+doesn't change the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 from .components import components
 
-#: Rounds with pivots before the rest is tested pair by pair in finer buckets.
-ROUNDS = 4
-#: Members of a finer bucket that one task lists against as many.
+#: Members up to which a bucket tests all pairs.
+SMALL = 16
+#: A round of stars is followed by another one if it finds a link for so many members.
+FEW = 10
+#: Pairs for each member up to which finer buckets are tested without stars.
+PAIRS = 4
+#: Members of a finer bucket that one task lists as candidates of the others.
 BLOCK = 500
+#: Pairs of one node that one task tests.
+SHARE = 2000
+#: What a test returns of each linked pair.
+LINK = "a binary, b binary, root_a binary, root_b binary"
 
 
-def shared(listed: DataFrame) -> DataFrame:
-    """band, node, weight of the members of buckets with two nodes or more; ``listed`` has band, node."""
-    dealt = listed.repartition("band")
-    sizes = dealt.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-    members = written(dealt.join(sizes.where("lo != hi").select("band", "size"), "band"), "buckets")
-    central = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    return written(members.select("band", "node").join(central, "node").distinct(), "members")
+def short_of(node: str) -> Column:
+    """Eight bytes for a node of sixteen, while all buckets are shuffled: xxHash64 with seed 42. Two nodes may have one."""
+    return F.xxhash64(node)
 
 
-def _finer(items: DataFrame, roots: DataFrame) -> DataFrame:
-    """band, node, root: each node under the rarest of its items. ``items`` has node, item, need."""
-    # an item of one node alone takes a place among the rarest, but makes no bucket
-    uses = items.groupBy("item").agg(F.count("*").alias("uses"))
-    rarest = Window.partitionBy("node").orderBy("uses", "item")
-    placed = items.join(uses, "item").withColumn("place", F.row_number().over(rarest))
-    return placed.where("place <= need and uses > 1").select(F.col("item").alias("band"), "node").join(roots, "node")
+def crowded(listed: DataFrame) -> DataFrame:
+    """band, short of the members of buckets with two of them or more; ``listed`` has band, short. Each row is shuffled once."""
+    # said at once, so that Spark doesn't infer it for one use alone and shuffle the rows again for the other
+    dealt = listed.where("band is not null and short is not null").repartition("band")
+    sizes = dealt.groupBy("band").agg(F.min("short").alias("lo"), F.max("short").alias("hi"))
+    return dealt.join(sizes.where("lo != hi").select("band"), "band", "left_semi")
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """a, b: all pairs of one bucket with two roots. Blocks of a large bucket are dealt to tasks pair by pair."""
-    sizes = members.groupBy("band").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = members.join(sizes.where("lo != hi").select("band", blocks.alias("blocks")), "band")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = dealt.where("own <= other").select("band", F.col("own").alias("i"), F.col("other").alias("j"), F.col("node").alias("a"), F.col("root").alias("root_a"))
-    right = dealt.where("other <= own").select("band", F.col("other").alias("i"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("root").alias("root_b"))
-    pairs = left.join(right, ["band", "i", "j"]).where("root_a != root_b and (i < j or a < b)")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _open(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold two roots."""
+    apart = members.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    return members.join(apart.select("band"), "band", "left_semi")
 
 
-def links(members: DataFrame, test: Callable[[DataFrame], DataFrame], items: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """a, b of linked nodes, enough for all components.
+def _star(members: DataFrame, k: int) -> DataFrame:
+    """a, b and their roots: each bucket's members with the node of least hash, another one for another ``k``."""
+    turn = F.struct(F.xxhash64("node", F.lit(k)).alias("turn"), "node", "root")
+    pivots = members.groupBy("band").agg(F.min(turn).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    with_pivot = members.join(pivots.where("lo != hi").select("band", "p"), "band").where(F.col("root") != F.col("p.root"))
+    return with_pivot.select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.root").alias("root_a"), F.col("root").alias("root_b")).distinct()
 
-    ``test`` takes pairs (a, b) and returns those that are linked. ``items`` takes nodes and returns node, item, need:
-    each node's distinct items, and of how many of its rarest ones a linked node shares one among its own rarest.
+
+def _all_pairs(members: DataFrame) -> DataFrame:
+    """a, b and their roots: all pairs of each bucket."""
+    pairs = members.alias("x").join(members.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("root_a"), F.col("y.root").alias("root_b")).distinct()
+
+
+def _cross(finer: DataFrame, condition: str) -> DataFrame:
+    """a, b and their roots: pairs of a finer bucket's owners and seekers of two roots. A bucket's owners are dealt into blocks."""
+    owners, seekers = finer.where("owner"), finer.where("seeker")
+    sizes = owners.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = owners.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    spread = seekers.join(sizes, "band").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.root") != F.col("y.root")) & F.expr(condition)
+    pair = lambda a, b: F.struct(F.col(f"{a}.node").alias("a"), F.col(f"{b}.node").alias("b"), F.col(f"{a}.root").alias("root_a"), F.col(f"{b}.root").alias("root_b"))
+    pairs = dealt.alias("x").join(spread.alias("y"), on).select(F.when(F.col("x.node") < F.col("y.node"), pair("x", "y")).otherwise(pair("y", "x")).alias("p"))
+    return pairs.distinct().select("p.*")
+
+
+def _contracted(members: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members, with new roots, of buckets still open; root, top: what became of the roots that have a link."""
+    tops = components(linked.select("root_a", "root_b")).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = members.join(tops, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+    return written(_open(moved), "members"), tops
+
+
+def _crowd(finer: DataFrame) -> tuple[int, int]:
+    """Members of finer buckets, and the most pairs that they can have."""
+    by = finer.groupBy("band").agg(F.count("*").alias("n"), (F.count_if("owner") * F.count_if("seeker")).alias("pairs"))
+    row = by.agg(F.sum("n"), F.sum("pairs")).first()
+    return row[0] or 0, row[1] or 0
+
+
+def linked_roots(members: DataFrame, test: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame], condition: str = "true") -> DataFrame:
+    """node, root for each node of ``members`` (band, node) that is linked with another one.
+
+    ``test`` takes pairs (a, b and further columns) and returns those that are linked. ``finer`` takes node, root and
+    returns band, node,
+    root, owner, seeker and columns of its own: some owner and some seeker of a bucket are the two nodes of each link
+    that is still to be found, and ``condition`` holds between the two as x and y.
+    """
+    sizes = members.groupBy("band").agg((F.count("*") > SMALL).alias("large"))
+    sized = written(members.join(sizes, "band").withColumn("root", F.col("node")), "members")
+    now, steps, rounds = sized.where("large").drop("large"), [], 0
+    while True:
+        pairs = _star(now, rounds)
+        if rounds == 0:
+            pairs = pairs.union(_all_pairs(sized.where("not large"))).distinct()
+        linked = written(test(pairs), "links")
+        rounds, found = rounds + 1, linked.count()
+        if found:
+            size = now.count()
+            now, tops = _contracted(now, linked)
+            steps.append(tops)
+        if not found or FEW * found < size:
+            break
+    rest = written(now.select("node", "root").distinct(), "open")
+    if not rest.isEmpty():
+        fine = written(_open(finer(rest)), "finer")
+        while True:
+            size, pairs = _crowd(fine)
+            if pairs <= PAIRS * size:
+                break
+            linked = written(test(_star(fine, rounds)), "links")
+            rounds, found = rounds + 1, linked.count()
+            if found:
+                fine, tops = _contracted(fine, linked)
+                steps.append(tops)
+            if FEW * found < size:
+                break
+        linked = written(test(_cross(fine, condition)), "links") if pairs else None
+        if linked is not None and not linked.isEmpty():
+            steps.append(components(linked.select("root_a", "root_b")).select(F.col("node").alias("root"), F.col("root").alias("top")))
+    if not steps:
+        return members.select("node", F.col("node").alias("root")).limit(0)
+    # a later step's roots are those of an earlier one
+    out = steps[0].select(F.col("root").alias("node"), F.col("top").alias("root"))
+    for tops in steps[1:]:
+        later = tops.select(F.col("root").alias("was"), "top")
+        moved = out.join(later, out["root"] == later["was"], "left").select("node", F.coalesce("top", "root").alias("root"))
+        new = later.select(F.col("was").alias("node"), F.col("top").alias("root")).join(out, "node", "left_anti")
+        out = moved.union(new)
+    return written(out, "roots")
+
+
+def paired(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, root_a, root_b) with each other column of ``values`` (node, ...) as <name>_a and <name>_b, a node's pairs together.
+
+    The pairs of a node that has many are dealt into shares, each of which gets its own copy of that node's values.
     """
-    found = written(members.sparkSession.createDataFrame([], "a bigint, b bigint"), "links")
-    tested, now = found, members.withColumn("root", F.col("node"))
-    for _ in range(ROUNDS):
-        # of the members that no round has had as a pivot yet; pairs with earlier pivots are done
-        pivots = now.groupBy("band").agg(F.max(F.struct("weight", "node", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        open_ = written(now.join(pivots.where("lo != hi").select("band", "p"), "band").where(F.col("node") != F.col("p.node")), "open")
-        pairs = open_.where(F.col("root") != F.col("p.root")).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
-        pairs = written(_untested(pairs, tested), "pairs")
-        if pairs.isEmpty():
-            if open_.isEmpty():
-                return found
-            none = True
-        else:
-            new = written(test(pairs), "links")
-            none = new.isEmpty()
-            tested = tested.union(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        rest = open_.select("band", "node", "weight", F.col("root").alias("_root"))
-        if none:
-            now = rest.withColumnRenamed("_root", "root")
-            continue
-        found = found.union(new)
-        now = written(rest.join(components(found), "node", "left").select("band", "node", "weight", F.coalesce("root", "_root").alias("root")), "members")
-    apart = now.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
-    roots = written(now.join(apart, "band", "left_semi").select("node", "root").distinct(), "roots")
-    if roots.isEmpty():
-        return found
-    finer = written(_finer(items(roots.select("node")), roots), "finer")
-    return found.union(written(test(written(_untested(_cross_pairs(finer), tested), "pairs")), "links"))
-
-
-def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    seen = tested.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    return pairs.join(seen, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
+    named = [c for c in values.columns if c != "node"]
+    left, right = (values.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in named]) for x in "ab")
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    copies = left.join(shares, "a").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    dealt = pairs.join(shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), "shares").cast("int")).drop("shares")
+    return dealt.join(right, "b").join(copies.drop("shares"), ["a", "share"])

@@ -3,8 +3,9 @@
 Each round writes its edges to the shared folder, so lineage stays short and a lost executor costs one round at
 most. A large-star links every larger neighbour of a node to the node's smallest neighbour, a small-star links the
 smaller ones and the node itself; both keep components as they are, and they end in stars around each component's
-smallest node. A hub's neighbours are never gathered: the smallest neighbour comes
-from an aggregate with partial sums in every task, joined back to the edges.
+smallest node. A hub's neighbours are never gathered: the smallest neighbour comes from an aggregate with partial
+sums in every task, and the join that brings it back to the edges is one that Spark splits where it is skewed.
+No edges give no rows; an edge of a node to itself is dropped, and repeated edges count once.
 """
 
 from __future__ import annotations
@@ -38,7 +39,6 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         now = written(_clean(_small(_large(now))), "edges")
         # stars: each node has one edge down, and none leads to a node that has one itself
-        down = now.groupBy("a").agg(F.count("*").alias("n"))
-        chained = now.select(F.col("b").alias("a")).join(down, "a", "left_semi")
-        if down.where("n > 1").select("a").union(chained).isEmpty():
+        ends = now.select("a", F.lit(1).alias("down")).union(now.select(F.col("b"), F.lit(0)).distinct())
+        if ends.groupBy("a").agg(F.sum("down").alias("down"), F.count("*").alias("n")).where("down > 1 or down = 1 and n > 1").isEmpty():
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b"), F.col("b")).distinct())

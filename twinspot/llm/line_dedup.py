@@ -1,16 +1,20 @@
 """Line dedup: a segment-partition edit join of all distinct lines.
 
-Two lines are linked if at most ``EDITS`` edits of one code point lead from one to the other; lines of fewer than
-``SHORT`` code points only if they are equal. A line is cut into ``EDITS + 1`` even segments; of two linked lines,
+Two lines are linked if few edits of one code point lead from one to the other: ``EDITS`` at most, and one for each
+``PER`` code points of the shorter line, so that lines of fewer than ``PER`` are linked only if equal. A line of which
+e edits are allowed is cut into e + 1 even segments; of two linked lines,
 the longer one holds some segment of the shorter one unchanged, near its place. So each line is listed under its own
 segments and under those of its substrings that a line of equal or slightly smaller length could have as a segment,
 both keyed with that length and the segment's number. Lines that share a key are candidates; buckets.py picks the
-pairs to test, in large buckets with the help of runs of ``GRAM`` code points, and a banded bit-parallel edit distance
-decides. Linked lines form classes, of which only the first
-line stays: the one of smallest (doc_id, hash of the text, line number), null ids last.
+pairs to test, and a banded bit-parallel edit distance decides. What large buckets leave open is dealt by the rarest
+runs of ``GRAM`` code points at their places: so many that e edits can't change all of them, so that two linked
+lines share one. Linked lines form classes, of which only the first
+line stays: the one of smallest (doc_id, hash of the text, line number), null ids last. Equal lines are told by 128
+bits.
 
 Lines end at a newline; blank ones stay always. A null text has no lines and stays null, an empty text is one blank
-line. Repeated rows with equal doc_id and text share one answer. Lines of any length are compared whole.
+line. Repeated rows with equal doc_id and text share one answer. Lines and texts of any length are compared whole.
+An empty table gives no rows. Further columns, whatever their names, are returned as they are, but for ``n_chars``.
 """
 
 from __future__ import annotations
@@ -18,53 +22,75 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import links, shared
+from . import wordhash
+from .buckets import LINK, crowded, linked_roots, paired, short_of
 from .common import pieces_of_batches, text_key, written
-from .components import components
 
-EDITS, SHORT = 2, 24
-#: An edit changes this many runs at most; a line of ``SHORT`` code points has more runs than ``EDITS`` edits change.
-GRAM = 6
+EDITS, PER = 2, 12
+#: A line of ``e * PER`` code points has more runs than e edits change: more than e * GRAM.
+GRAM = 5
+#: Cells in which the uses of runs are counted. Any order of runs finds all links; a good estimate keeps buckets small.
+CELLS = 1 << 18
 #: Distinct lines that a task remembers, so as to list each once.
 _SEEN = 400_000
-
-_LINES = "doc_id bigint, _text bigint, line int, node bigint, size int"
-
-
-def _hash(s: str) -> int:
-    return xxhash.xxh3_64_intdigest(s.encode()) - (1 << 63)
-
-
-def _split(size: int, parts: int) -> list[tuple[int, int]]:
-    """(start, length) of even segments, the longer ones last."""
-    short, longer = divmod(size, parts)
-    out, at = [], 0
-    for k in range(parts):
-        n = short + (k >= parts - longer)
-        out.append((at, n))
-        at += n
-    return out
-
-
-def keys(line: str, edits: int = EDITS) -> set[int]:
-    """Own segments, and substrings that may be a segment of a line with up to ``edits`` code points fewer."""
-    out = set()
-    for fewer in range(edits + 1):
-        size = len(line) - fewer
-        if size < max(SHORT, edits + 1):
-            break
-        for k, (at, n) in enumerate(_split(size, edits + 1)):
-            # edits left of the segment move it by k at most, those right of it by the rest
-            lo = max(at - k, at + fewer - (edits - k), 0)
-            hi = min(at + k, at + fewer + (edits - k), len(line) - n)
-            for start in range(lo, hi + 1):
-                out.add(xxhash.xxh3_64_intdigest(line[start : start + n].encode(), seed=size * (edits + 1) + k) - (1 << 63))
-    return out
+#: Code points from which on segments are hashed one by one.
+_LONG = 1 << 20
+
+_LINES = "doc_id bigint, _text bigint, line int, node binary, size int"
+
+
+def _hash(s: str) -> bytes:
+    return xxhash.xxh3_128_digest(s.encode())
+
+
+def allowed(size: int) -> int:
+    return min(EDITS, size // PER)
+
+
+def keys_of(lines: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.ndarray]:
+    """(key, line): own segments, and substrings that may be a segment of a line with up to ``edits`` code points fewer."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(lines) else size
+    points = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4")
+    power, inverse = wordhash.tables(len(points) + 1) if len(points) < 4 * _LONG else (None, None)
+    sums = np.zeros(len(points) + 1, np.uint64)
+    if power is not None:
+        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * power[: len(points)], out=sums[1:])
+    out, of = [], []
+    for e in range(1, edits + 1):
+        for fewer in range(e + 1):
+            n = size - fewer
+            mine = np.flatnonzero(np.minimum(edits, n // PER) == e)
+            n, parts = n[mine], e + 1
+            least = n // parts
+            longer = n - least * parts
+            for k in range(parts):
+                # even segments, the longer ones last
+                at, m = k * least + np.maximum(0, k - (parts - longer)), least + (k >= parts - longer)
+                seed = wordhash.mix((n * 8 + k).astype(np.uint64))
+                # edits left of the segment move it by k at most, those right of it by the rest
+                for shift in range(max(-k, fewer - (e - k)), min(k, fewer + e - k) + 1):
+                    start = at + shift
+                    fits = (start >= 0) & (start + m <= size[mine])
+                    s = (begin[mine] + start)[fits]
+                    if power is None:
+                        own = [int.from_bytes(hashlib.blake2b(points[x : x + w].tobytes(), digest_size=8).digest(), "little") for x, w in zip(s, m[fits], strict=True)]
+                        found = np.asarray(own, np.uint64)
+                    else:
+                        found = (sums[s + m[fits]] - sums[s]) * inverse[s]
+                    out.append(wordhash.mix(found ^ seed[fits]))
+                    of.append(mine[fits])
+    return np.concatenate(out).view(np.int64), np.concatenate(of)
+
+
+def keys(line: str) -> set[int]:
+    return set(keys_of([line])[0].tolist())
 
 
 def _common(a: str, b: str) -> int:
@@ -115,7 +141,7 @@ def within(a: str, b: str, edits: int = EDITS) -> bool:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()]
     for batch in pieces_of_batches(batches, "text", 4 << 20):
         out = [
             (doc_id, key, k, _hash(line), len(line))
@@ -128,20 +154,30 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
-    for batch in pieces_of_batches(batches, "text", 4 << 20):
-        bands, nodes = [], []
+    """band, short of each line that may be linked with an unequal one, once for each task."""
+    seen: set[bytes] = set()
+
+    def made(lines: list[str], shorts: list[int]) -> pa.RecordBatch:
+        bands, of = keys_of(lines)
+        return pa.RecordBatch.from_arrays([pa.array(bands), pa.array(np.asarray(shorts, np.uint64).view(np.int64)[of])], ["band", "short"])
+
+    for batch in pieces_of_batches(batches, "text", 1 << 20):
+        lines, shorts = [], []
         for text in batch.column(0).to_pylist():
             for line in (text or "").split("\n"):
-                if len(line) >= SHORT and not line.isspace() and (node := _hash(line)) not in seen:
-                    if len(seen) >= _SEEN:
-                        seen.clear()
-                    seen.add(node)
-                    own = keys(line)
-                    bands += own
-                    nodes += [node] * len(own)
-        if bands:
-            yield pa.RecordBatch.from_arrays([pa.array(bands, pa.int64()), pa.array(nodes, pa.int64())], ["band", "node"])
+                if len(line) < PER or line.isspace() or (node := _hash(line)) in seen:
+                    continue
+                if len(seen) >= _SEEN:
+                    seen.clear()
+                seen.add(node)
+                short = xxhash.xxh64_intdigest(node, seed=42)
+                if len(line) >= _LONG:
+                    yield made([line], [short])
+                else:
+                    lines.append(line)
+                    shorts.append(short)
+        if lines:
+            yield made(lines, shorts)
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,32 +188,95 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out += [(s["node"], lines[s["line"]]) for s in asked]
         if out:
             nodes, lines = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines)], ["node", "line"])
-
-
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each line's runs of GRAM code points; a run's repeats count as runs of their own."""
-    for batch in pieces_of_batches(batches, "line", 1 << 20):
-        nodes, items = [], []
-        for node, line in zip(*(batch.column(batch.schema.names.index(x)).to_pylist() for x in ("node", "line")), strict=True):
-            uses: dict[str, int] = {}
-            own = set()
-            for k in range(len(line) - GRAM + 1):
-                gram = line[k : k + GRAM]
-                uses[gram] = nth = uses.get(gram, -1) + 1
-                own.add(xxhash.xxh3_64_intdigest(gram.encode(), seed=nth) - (1 << 63))
-            nodes += [node] * len(own)
-            items += own
-        need = pa.array([EDITS * GRAM + 1] * len(nodes), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(items, pa.int64()), need], ["node", "item", "need"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(lines)], ["node", "line"])
+
+
+def _grams(line: str) -> np.ndarray:
+    """Hashes of the line's runs of GRAM code points, from left to right."""
+    points = np.frombuffer(line.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+    return wordhash.grams(points, GRAM)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cell, uses: how often a task's lines have runs whose hash ends in a cell's number."""
+    uses = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for line in batch.column(0).to_pylist():
+            np.add.at(uses, (_grams(line) % np.uint64(CELLS)).astype(np.int64), 1)
+    cell = np.flatnonzero(uses)
+    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(uses[cell])], ["cell", "uses"])
+
+
+def _apart(at: list[int], most: int) -> list[int]:
+    """Places of up to ``most`` runs that don't overlap, from the left."""
+    out: list[int] = []
+    for x in sorted(at):
+        if len(out) < most and (not out or x >= out[-1] + GRAM):
+            out.append(x)
+    return out
+
+
+def early(uses: np.ndarray, grams: np.ndarray, at: np.ndarray, edits: int) -> tuple[np.ndarray, list[int]]:
+    """The rarest runs, all places of each, until ``edits + 1`` of them don't overlap; and such ones.
+
+    As many edits leave one of those as it is. Of two linked lines, one's early runs end no later by rarity than the
+    other's, so that the run left as it is belongs to the other's early ones.
+    """
+    order = np.lexsort((at, grams, uses))
+    for k in range(len(order)):
+        last = k + 1 == len(order) or grams[order[k + 1]] != grams[order[k]]
+        if last and k >= edits:
+            places = _apart(at[order[: k + 1]].tolist(), edits + 1)
+            if len(places) > edits:
+                return order[: k + 1], places
+    return order, _apart(at.tolist(), edits + 1)
+
+
+def _placed(uses: np.ndarray):
+    moves = [(more, shift) for more in range(-EDITS, EDITS + 1) for shift in range(-EDITS, EDITS + 1) if abs(shift) + abs(more - shift) <= EDITS]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys of gram, length and place: an owner's are those of early runs apart, a seeker's all that an owner may have."""
+        for batch in pieces_of_batches(batches, "line", 1 << 20):
+            names, rows, bands, owner = batch.schema.names, [], [], []
+            get = lambda c: batch.column(names.index(c))  # noqa: B023, E731
+            for r, line in enumerate(get("line").to_pylist()):
+                grams, size = _grams(line), len(line)
+                first, apart = early(uses[(grams % np.uint64(CELLS)).astype(np.int64)], grams, np.arange(len(grams)), allowed(size))
+                for k in first:
+                    gram, place = int(grams[k]), int(k)
+                    keys_here = [hash((gram, size + more, place + shift)) for more, shift in moves]
+                    bands += keys_here
+                    owner += [False] * len(keys_here)
+                    if place in apart:
+                        bands.append(hash((gram, size, place)))
+                        owner.append(True)
+                    rows += [r] * (len(keys_here) + (place in apart))
+            of, is_owner = pa.array(rows, pa.int64()), np.asarray(owner, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(bands, pa.int64()), get("node").take(of), get("root").take(of), pa.array(is_owner), pa.array(~is_owner)], ["band", "node", "root", "owner", "seeker"])
+
+    return placed
+
+
+def _rarest(texts: DataFrame):
+    def finer(roots: DataFrame) -> DataFrame:
+        lines = written(texts.join(roots, "node").select("node", "root", "line"), "open-lines")
+        uses = np.zeros(CELLS, np.int32)
+        # as many numbers as there are cells, for any number of lines
+        for r in lines.select("line").mapInArrow(_cells, "cell int, uses bigint").groupBy("cell").agg(F.least(F.sum("uses"), F.lit(2**31 - 1)).cast("int").alias("uses")).collect():
+            uses[r["cell"]] = r["uses"]
+        return lines.mapInArrow(_placed(uses), "band bigint, node binary, root binary, owner boolean, seeker boolean")
+
+    return finer
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces_of_batches(batches, "line_b", 4 << 20):
         names = batch.schema.names
         a, b = (batch.column(names.index(x)).to_pylist() for x in ("line_a", "line_b"))
-        mask = pa.array([within(x, y) for x, y in zip(a, b, strict=True)])
-        yield pa.RecordBatch.from_arrays([batch.column(names.index(x)).filter(mask) for x in ("a", "b")], ["a", "b"])
+        mask = pa.array([within(x, y, allowed(min(len(x), len(y)))) for x, y in zip(a, b, strict=True)])
+        kept = ("a", "b", "root_a", "root_b")
+        yield pa.RecordBatch.from_arrays([batch.column(names.index(x)).filter(mask) for x in kept], list(kept))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -187,15 +286,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text", "line")
     exact = lines.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("uses"))
 
-    members = shared(rows.select("text").mapInArrow(_listed, "band bigint, node bigint"))
-    wanted = exact.join(members.select("node").distinct(), "node", "left_semi").select("node", "first.*")
+    shorts = exact.select("node", short_of("node").alias("short"), "first")
+    listed = crowded(rows.select("text").mapInArrow(_listed, "band bigint, short bigint"))
+    # a task lists a line once, several tasks may list it
+    members = written(listed.distinct().join(shorts, "short").select("band", "node", "first"), "buckets")
+    wanted = members.select("node", "first.*").distinct()
     asked = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_other")).agg(F.collect_list(F.struct("node", "line")).alias("asked"))
     on = rows["doc_id"].eqNullSafe(asked["_id"]) & rows["_text"].eqNullSafe(asked["_other"])
-    texts = written(rows.join(asked, on).select("text", "asked").mapInArrow(_asked, "node bigint, line string").dropDuplicates(["node"]), "bucket-lines")
-    left, right = (texts.select(F.col("node").alias(x), F.col("line").alias(f"line_{x}")) for x in "ab")
-    test = lambda pairs: pairs.join(right, "b").join(left, "a").mapInArrow(_near, "a bigint, b bigint")
-    items = lambda nodes: texts.join(nodes, "node", "left_semi").mapInArrow(_grams, "node bigint, item bigint, need int")
-    found = components(links(members, test, items))
+    texts = written(rows.join(asked, on).select("text", "asked").mapInArrow(_asked, "node binary, line string").dropDuplicates(["node"]), "bucket-lines")
+    test = lambda pairs: paired(pairs, texts).mapInArrow(_near, LINK)
+    found = linked_roots(members.select("band", "node"), test, _rarest(texts))
 
     classed = exact.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = classed.groupBy("root").agg(F.min("first").alias("kept"), F.sum("uses").alias("uses")).where("uses > 1")
@@ -208,26 +308,26 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces_of_batches(batches, "text", 4 << 20):
-        names = batch.schema.names
-        at = names.index("text")
         texts = []
-        for text, gone in zip(batch.column(at).to_pylist(), batch.column(names.index("_gone")).to_pylist(), strict=True):
+        for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             if gone:
                 drop = set(gone)
                 text = "\n".join(line for k, line in enumerate(text.split("\n")) if k not in drop)
             texts.append(text)
-        columns = [batch.column(k) if k != at else pa.array(texts, batch.schema.field(at).type) for k in range(len(names)) if names[k] != "_gone"]
-        yield pa.RecordBatch.from_arrays(columns, [n for n in names if n != "_gone"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with each text's repeated lines cut; all rows and other columns stay. ``n_chars`` is counted anew."""
-    gone = repeated_lines(docs).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_other"), F.col("gone").alias("_gone"))
-    keyed = docs.withColumn("_key_of_text", text_key())
-    on = keyed["doc_id"].cast("long").eqNullSafe(gone["_id"]) & keyed["_key_of_text"].eqNullSafe(gone["_other"])
-    joined = keyed.join(gone, on, "left").select(*[keyed[c] for c in docs.columns], "_gone")
-    out = joined.mapInArrow(_kept, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    gone = repeated_lines(docs).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_other"), "gone")
+    # the other columns ride in a struct, so their names can't meet those in use here
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others).alias("row"), "text", F.col("doc_id").cast("long").alias("_own"), text_key().alias("_own_key"))
+    on = rows["_own"].eqNullSafe(gone["_id"]) & rows["_own_key"].eqNullSafe(gone["_other"])
+    joined = rows.join(gone, on, "left").select("row", "text", "gone")
+    out = joined.mapInArrow(_kept, joined.select("row", "text").schema)
+    counted = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return out.select(*[F.col("text") if c == "text" else counted.alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _tables(n: int) -> list[np.ndarray]:
+def tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, n of each at least."""
     if not _powers or len(_powers[0]) < n:
         size = max(n, _BLOCK + LONG_WORD)
         _powers[:] = [np.cumprod(np.full(size, b, np.uint64)) for b in (_BASE, _INVERSE)]
@@ -76,7 +77,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         stop = np.flatnonzero(long[lo:hi])
         hi = lo + int(stop[0]) if len(stop) else hi
         first, last = starts[lo], ends[hi - 1]
-        power, inverse = _tables(last - first + 1)
+        power, inverse = tables(last - first + 1)
         sums = np.zeros(last - first + 1, np.uint64)
         np.cumsum((data[first:last].astype(np.uint64) + np.uint64(1)) * power[: last - first], out=sums[1:])
         s, e = starts[lo:hi] - first, ends[lo:hi] - first
