@@ -22,6 +22,7 @@ without strings does, the curve's lowest value. Repeated rows score alike.
 from __future__ import annotations
 
 import heapq
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_of_id, pieces_of_batches
@@ -265,12 +266,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights |
     """Fit on a bounded sample of the labelled rows whose crc32(doc_id) mod 5 is not 0."""
     own = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & (crc_of_id(F.col("doc_id")) % 5 != 0)).dropDuplicates(["doc_id"])
     sizes = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = own.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample).drop("_rank")
-    # at most two times ``sample`` rows
+    # each task keeps its first ``sample`` of a label, so no task gets a label's rows
+    first = lambda label: own.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = first(0).union(first(1))
+    # at most two times ``sample`` rows, so one task can fit them
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = sorted(texts.collect(), key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows], sizes.get(1, 0) / max(1, sum(sizes.values())))
+    share = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    found = texts.select("doc_id", "text", "toxic").repartition(1).mapInArrow(_fitted(share), "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([], [], share)
+
+
+def _fitted(share: float):
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda r: r[0])
+        model = fit([r[1] for r in rows], [r[2] for r in rows], share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    return fitted
 
 
 def _scored(model: Weights | float):
