@@ -2,12 +2,14 @@
 
 Documents are taken in blocks of bounded text. A block is a sparse matrix: documents by the distinct
 pre-tokens of the block, holding frequencies. Only each block's list of distinct pre-tokens is shuffled, so a
-frequent pre-token costs one row per block, not one per document. Spark makes the list distinct over all
-blocks, counts each pre-token's pieces once, joins the counts back to the blocks, and a product of each block's
-matrix with its vector of piece counts gives the documents' totals. No ids are made.
+frequent pre-token costs one row per block, not one per document. Spark brings equal pre-tokens of all
+blocks together in sorted order, so that each one's pieces are counted once; the counts go back to their blocks, and
+a product of each block's
+matrix with its vector of piece counts gives the documents' totals. No ids are made. The matrices travel without
+their pre-tokens, as compressed differences.
 
 Nulls and empty texts have 0 tokens. Repeated rows are counted each. Special strings inside a text count as the
-library has it: they stand in the list as themselves. Empty tables give empty results; further columns of the
+library has it: they stand in the list as themselves. Very long texts are taken whole, as a block of their own. Empty tables give empty results; further columns of the
 input, whatever their names, are not read.
 """
 
@@ -16,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,17 @@ BLOCK_BYTES = 14 << 20
 #: Set before a word that holds a special string; such a word is counted whole. No pre-token starts with it.
 WHOLE = "\n"
 
-_MATRIX = "block bigint, ids array<bigint>, n_bytes array<bigint>, offsets binary, columns binary, high binary, counts binary, pretokens array<string>"
+_MATRIX = "block bigint, ids array<bigint>, n_bytes array<bigint>, offsets binary, cells bigint, columns binary, counts binary, pretokens array<string>"
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Small numbers of 32 bits: all first bytes, then all second ones and so on, compressed."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(held: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(held, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 def _matrices(path: str):
@@ -57,17 +68,20 @@ def _matrices(path: str):
             cell, count = np.unique(cell, return_counts=True)
             cell_doc, cell_column = np.divmod(cell, max(1, len(columns)))
             offsets = np.searchsorted(cell_doc, np.arange(len(ids) + 1))
+            step = np.diff(cell_column, prepend=0)
+            begins = offsets[:-1][offsets[:-1] < offsets[1:]]
+            step[begins] = cell_column[begins]
             number += 1
             return pa.RecordBatch.from_arrays([
                 pa.array([task << 24 | number], pa.int64()),
                 pa.array([ids], pa.list_(pa.int64())),
                 pa.array([sizes], pa.list_(pa.int64())),
                 pa.array([offsets.astype("<i4").tobytes()], pa.binary()),
-                pa.array([(cell_column & 0xFFFF).astype("<u2").tobytes()], pa.binary()),
-                pa.array([(cell_column >> 16).astype("<u2").tobytes()], pa.binary()),
-                pa.array([count.astype("<u4").tobytes()], pa.binary()),
+                pa.array([len(cell)], pa.int64()),
+                pa.array([_packed(step)], pa.binary()),
+                pa.array([_packed(count)], pa.binary()),
                 pa.array([list(columns)], pa.list_(pa.string())),
-            ], ["block", "ids", "n_bytes", "offsets", "columns", "high", "counts", "pretokens"])
+            ], ["block", "ids", "n_bytes", "offsets", "cells", "columns", "counts", "pretokens"])
 
         ids, sizes, rows, held = [], [], [], 0
         words: dict[str, int] = {}
@@ -93,11 +107,19 @@ def _matrices(path: str):
 
 
 def _piece_counts(path: str):
-    @F.pandas_udf("int")
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoder(WordEncoder, path)
-        for found in batches:
-            yield pd.Series([len(enc.whole(p[len(WHOLE) :].removeprefix(WHOLE))) // 4 if p[0] == WHOLE else enc.count(p) for p in found], dtype="int32")
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """block, value: place and pieces of each listed pre-token. Equal ones come in a row and are counted once."""
+        enc, last, known = encoder(WordEncoder, path), None, 0
+        for batch in batches:
+            coded = batch.column(batch.schema.names.index("pretoken")).dictionary_encode()
+            counts = np.zeros(len(coded.dictionary), np.int64)
+            for k, p in enumerate(coded.dictionary.to_pylist()):
+                if p != last:
+                    last, known = p, len(enc.whole(p[len(WHOLE) :].removeprefix(WHOLE))) // 4 if p[0] == WHOLE else enc.count(p)
+                counts[k] = known
+            at = np.asarray(batch.column(batch.schema.names.index("at"))).astype(np.int64)
+            value = at << 32 | counts[np.asarray(coded.indices)]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index("block")), pa.array(value)], ["block", "value"])
 
     return pieces
 
@@ -110,10 +132,11 @@ def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             packed = row["vector"].values.to_numpy(zero_copy_only=False) if size else np.zeros(0, np.int64)
             vector = np.zeros(size, np.int64)
             vector[packed >> 32] = packed & 0xFFFFFFFF
-            read = lambda name, kind: np.frombuffer(row[name].as_py(), kind)  # noqa: B023, E731
-            offsets = read("offsets", "<i4")
-            column = read("columns", "<u2").astype(np.int64) | read("high", "<u2").astype(np.int64) << 16
-            part = np.concatenate([[0], np.cumsum(vector[column] * read("counts", "<u4"))]) if len(column) else np.zeros(1, np.int64)
+            offsets = np.frombuffer(row["offsets"].as_py(), "<i4").astype(np.int64)
+            n = row["cells"].as_py()
+            along = np.concatenate([[0], np.cumsum(_unpacked(row["columns"].as_py(), n))])
+            column = along[1:] - np.repeat(along[offsets[:-1]], np.diff(offsets))
+            part = np.concatenate([[0], np.cumsum(vector[column] * _unpacked(row["counts"].as_py(), n))])
             yield pa.RecordBatch.from_arrays([
                 row["ids"].values, row["n_bytes"].values, pa.array(part[offsets[1:]] - part[offsets[:-1]], pa.int64()),
             ], ["doc_id", "n_bytes", "n_tokens"])
@@ -123,12 +146,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
     """doc_id, n_bytes, n_tokens, over_limit for each row of ``docs`` (doc_id, text)."""
     matrices = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_matrices(vocabulary), _MATRIX), "pretoken-blocks")
     listed = matrices.select("block", F.posexplode("pretokens").alias("at", "pretoken"))
-    # one row per block and pre-token: no pre-token has more rows than there are blocks; dealt once for both uses
-    listed = listed.repartition("pretoken")
-    pieces = listed.select("pretoken").distinct().withColumn("pieces", _piece_counts(vocabulary)("pretoken"))
-    vectors = listed.join(pieces, "pretoken").groupBy("block").agg(
-        F.collect_list(F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("pieces").cast("long"))).alias("vector")
-    )
+    # one row per block and pre-token: no pre-token has more rows than there are blocks
+    together = listed.repartition("pretoken").sortWithinPartitions("pretoken")
+    values = together.mapInArrow(_piece_counts(vocabulary), "block bigint, value bigint")
+    vectors = values.groupBy("block").agg(F.collect_list("value").alias("vector"))
     joined = matrices.drop("pretokens").join(vectors, "block", "left").withColumn("vector", F.coalesce("vector", F.array().cast("array<bigint>")))
     counted = joined.mapInArrow(_products, "doc_id bigint, n_bytes bigint, n_tokens bigint")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
