@@ -205,12 +205,14 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     by_window = salted.join(first_of.withColumn("share", shares), ["h1", "h2", "share"]).groupBy("route", "seg").agg(F.array_sort(F.collect_list(F.struct("at", "first"))).alias("w"))
     by_window = by_window.select("route", "seg", F.col("w.first").alias("firsts"))
 
-    # where a segment is the only one of its route, all its windows are as old as it is
-    copies = alone.select("route", "seg", F.array_repeat(F.col("doc_id"), F.col("n")).alias("firsts"))
-    all_firsts = firsts.union(by_window).union(copies)
-    older = members.join(all_firsts, ["route", "seg"]).select(
+    held = firsts.union(by_window)
+    older = members.join(held, ["route", "seg"]).select(
         "doc_id", "_text", F.filter(F.transform("firsts", lambda x, k: F.when(x < F.col("doc_id"), F.col("start") + k)), lambda x: x.isNotNull()).alias("at")
     ).where(F.size("at") > 0)
+    # where a segment is the only one of its route, all its windows are as old as it is: copies need no index
+    first_copy = alone.select("route", "seg", F.col("doc_id").alias("first"))
+    copies = members.join(first_copy, ["route", "seg"]).where("first < doc_id").select("doc_id", "_text", F.expr("sequence(start, start + n - 1)").alias("at"))
+    older = older.unionByName(copies.withColumn("at", F.col("at").cast(older.schema["at"].dataType)))
     # segments of a document hold different windows; rows that repeat only name the same starts again
     return older.groupBy("doc_id", "_text").agg(F.flatten(F.collect_list("at")).alias("starts"))
 
