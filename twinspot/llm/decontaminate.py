@@ -4,11 +4,13 @@ Texts are lower-cased in A-Z and cut into words. Every window of ``WINDOW`` cons
 item (the whole item, where it has fewer words) goes into a hash set; every position of every document is looked
 up in it by a hash of the words that start there, and each hit is confirmed on the words themselves. The set is
 broadcast while its measured size is within ``BROADCAST_BYTES``; beyond that the same join is shuffled on the
-window's hash, which spreads evenly because equal windows of one set are one row.
+window's hash. There, equal windows of the set are one row, and where many documents hold one window, it is theirs that
+Spark's adaptive execution splits. The list of items by window is measured on its own and broadcast under the same limit.
 
 A null text has no words and is clean; an empty benchmark leaves all documents clean. Rows with equal doc_id and
-text share one answer, and each comes out. Items without an item_id still mark words, but aren't listed. Further
-columns of either table are not read.
+text share one answer, and each comes out. Items without an item_id still mark words, but aren't listed. Very long
+texts are searched whole. An empty table of documents gives no rows. Further columns of either table are not read;
+``without_documents`` and ``without_spans`` return those of the documents, whatever their names.
 """
 
 from __future__ import annotations
@@ -59,6 +61,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
     sizes = distinct.groupBy("n").agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.array_join("words", " "))).alias("bytes")).collect()
     small = sum(r["bytes"] + 64 * r["rows"] for r in sizes) <= broadcast_bytes
     lengths = sorted(r["n"] for r in sizes) or [window]
+    # a window may have any number of items, so their list is measured by itself
+    held = listed.agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.array_join("words", " ")) + F.coalesce(F.octet_length(F.col("item_id").cast("string")), F.lit(0))).alias("bytes")).first()
+    few_owners = (held["bytes"] or 0) + 64 * held["rows"] <= broadcast_bytes
 
     sought = distinct.select(F.col("n").alias("_n"), F.col("words").alias("_sought"))
     sought = sought.withColumn("_hash", F.coalesce(*[F.when(F.col("_n") == n, _hash_at(F.col("_sought"), F.lit(0), n)) for n in lengths]))
@@ -87,7 +92,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
     marked = found.groupBy("doc_id", "_text").agg(F.collect_set(F.struct("_at", "_len")).alias("_spans"))
     marked = marked.select("doc_id", "_text", F.array_sort(F.array_distinct(F.flatten(F.transform("_spans", span)))).alias("at"))
     owners = listed.select(F.col("words").alias("_sought"), "item_id")
-    named = found.select("doc_id", "_text", "_sought").distinct().join(F.broadcast(owners) if small else owners, "_sought")
+    named = found.select("doc_id", "_text", "_sought").distinct().join(F.broadcast(owners) if few_owners else owners, "_sought")
     named = named.groupBy("doc_id", "_text").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     return _same_row(marked, named, "left").select("doc_id", "_text", "at", "items")
 
@@ -114,22 +119,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     )
 
 
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int, how: str) -> DataFrame:
+    """row, text, at: each row of ``docs`` in a struct, so that its names can't meet those in use here."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("_own"), text_key().alias("_own_key"))
+    marks = hits(docs, benchmark, window).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_other"), "at")
+    return rows.join(marks, rows["_own"].eqNullSafe(marks["_id"]) & rows["_own_key"].eqNullSafe(marks["_other"]), how)
+
+
 def without_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without a hit, with all their columns."""
-    bad = hits(docs, benchmark, window).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_other"))
-    keyed = docs.withColumn("_key_of_text", text_key())
-    on = keyed["doc_id"].eqNullSafe(bad["_id"]) & keyed["_key_of_text"].eqNullSafe(bad["_other"])
-    return keyed.join(bad, on, "left_anti").select(*docs.columns)
+    return _marked(docs, benchmark, window, "left_anti").select("row.*")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the hit words, and what stands between a hit word and the next word, cut from the texts."""
-    keyed = docs.withColumn("_key_of_text", text_key())
-    marks = hits(docs, benchmark, window).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_other"), F.col("at").alias("_hit_words"))
-    on = keyed["doc_id"].eqNullSafe(marks["_id"]) & keyed["_key_of_text"].eqNullSafe(marks["_other"])
-    at, text = marks["_hit_words"], keyed["text"]
+    at, text = F.col("at"), F.col("row.text")
     words = F.regexp_extract_all(text, F.lit(_WORD_ANY_CASE), F.lit(1))
     gaps = F.split(text, _WORD_ANY_CASE)
     left = F.transform(words, lambda w, k: F.when(F.array_contains(at, k), "").otherwise(F.concat(w, F.get(gaps, k + 1))))
     cut = F.when(at.isNull(), text).otherwise(F.concat(F.get(gaps, F.lit(0)), F.array_join(left, "")))
-    return keyed.join(marks, on, "left").select(*[cut.alias(c) if c == "text" else keyed[c] for c in docs.columns])
+    return _marked(docs, benchmark, window, "left").select(*[(cut if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

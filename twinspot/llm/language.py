@@ -5,13 +5,12 @@ gives every byte a distribution over the learned languages; a text's distributio
 Training is by backpropagation through time on slices of a bounded sample: up to ``SAMPLE`` rows of each language,
 the first by a hash of doc_id, of those whose crc32(doc_id) mod 4 is not 2, and ``SLICES`` slices of each.
 
-A text that is null or has no letter is ``und`` with score 0. If there is nothing to learn from, all texts are.
+A text that is null or has no letter (Unicode category L) is ``und`` with score 0. If there is nothing to learn from, all texts are.
 Repeated rows score alike; each text is read whole, a bounded number of stretches at a time.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +28,6 @@ STEPS, BATCH, RATE, SEED = 260, 256, 0.01, 7
 TOGETHER = 2048
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -209,7 +207,7 @@ def _predicted(net: Network | None):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of_batches(batches, "text", 1 << 20):
             column = batch.column(1)
-            lettered = np.asarray([bool(t and _LETTER.search(t)) for t in column.to_pylist()])
+            lettered = np.asarray([bool(t and any(map(str.isalpha, t))) for t in column.to_pylist()])
             if net is None:
                 lettered[:] = False
             langs, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
