@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as X
@@ -38,3 +38,10 @@ def accepted(path: Column, image_dirs: list[str], exclude_dirs: list[str]) -> Co
     inside = F.arrays_overlap(parents, F.array(*map(F.lit, image_dirs))) if image_dirs else F.lit(True)
     outside = F.arrays_overlap(parents, F.array(*map(F.lit, exclude_dirs))) if exclude_dirs else F.lit(False)
     return inside & ~outside
+
+
+def open_jobs(starts: DataFrame, lane: str, job: str, lasting: int) -> DataFrame:
+    """lane, job, at, open: jobs of the lane that are open at each start, itself included; an end at that time comes first."""
+    steps = starts.select(lane, job, "at", F.lit(1).alias("step")).union(starts.select(lane, job, F.col("at") + lasting, F.lit(-1)))
+    order = Window.partitionBy(lane).orderBy("at", "step", job).rowsBetween(Window.unboundedPreceding, 0)
+    return steps.withColumn("open", F.sum("step").over(order)).where("step = 1").drop("step")

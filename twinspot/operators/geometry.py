@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Reasons for refusal in the order in which they are tried.
-GATES = ("too_few_matches", "too_few_inliers", "too_few_distinct", "low_inlier_ratio", "low_spread", "collinear", "high_reproj_error")
+GATES = ("too_few_matches", "no_model", "too_few_inliers", "too_few_distinct", "low_inlier_ratio", "low_spread", "collinear", "high_reproj_error", "ill_conditioned")
 
 
 def measures(points: DataFrame, key: str, diagonal: float) -> DataFrame:
@@ -72,10 +72,18 @@ def residual(points: DataFrame, maps: DataFrame, key: str) -> DataFrame:
     return joined.groupBy(key).agg(F.sqrt(F.avg(du * du + dv * dv)).alias("rms"))
 
 
-def gated(matches: Column, inliers: Column, distinct: Column, spread: Column, axis_ratio: Column, rms: Column) -> Column:
-    """The first gate that refuses, or none."""
+def condition(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Ratio of the larger to the smaller singular value of a map's linear part; infinite where it is singular."""
+    total, det = a * a + b * b + c * c + d * d, a * d - b * c
+    root = F.sqrt(F.greatest(F.lit(0.0), total * total - 4 * det * det))
+    low = total - root
+    return F.when(low > 0, F.sqrt((total + root) / low)).otherwise(F.lit(float("inf")))
+
+
+def gated(matches: Column, inliers: Column, distinct: Column, spread: Column, axis_ratio: Column, rms: Column, condition: Column) -> Column:
+    """The first gate that refuses, or none. Without a map, rms and condition are null, and the second gate refuses."""
     share = F.when(matches > 0, inliers.cast("double") / matches).otherwise(0.0)
-    tests = (matches < 8, inliers < 15, distinct < 12, share < 0.18, spread < 0.10, axis_ratio < 0.02, rms > 5.0)
+    tests = (matches < 8, rms.isNull(), inliers < 15, distinct < 12, share < 0.18, spread < 0.10, axis_ratio < 0.02, rms > 5.0, condition.isNull() | (condition > 1e3))
     out = F.when(tests[0], GATES[0])
     for test, name in zip(tests[1:], GATES[1:], strict=True):
         out = out.when(test, name)

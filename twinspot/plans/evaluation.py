@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as X
+from ..operators import corpus
 from ..sources import table
 
 NAN = float("nan")
@@ -73,9 +74,10 @@ def job_ttl_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def admission_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of each conversation in order, with the characters that have come before."""
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"), F.count_if(F.col("role") == "user").alias("asked"))
-    return rows.select("conv_id", "turns", "chars", "asked", (F.col("chars") > 2000).alias("refused"))
+    """Each event starts a job of its user that takes an hour: how many are open then, and whether the third is refused."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    load = corpus.open_jobs(rows, "user_id", "event_id", 3_600_000_000)
+    return load.select("user_id", "event_id", "open", (F.col("open") > 2).alias("refused"))
 
 
 def tumbling_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +110,7 @@ r AS (SELECT *, epoch(hour)::BIGINT // 3600 - row_number() OVER (ORDER BY hour)
 SELECT epoch(min(hour))::BIGINT AS first, count(*) AS hours, sum(n)::BIGINT AS events FROM r GROUP BY run HAVING count(*) >= 2""",
     "job_status_latest": f"WITH {_LAST} SELECT user_id, status, at_us, updates FROM l",
     "job_ttl_expiry": f"WITH {_LAST} SELECT user_id, status FROM l WHERE at_us <= (SELECT max(at_us) - 3600000000 FROM l) AND status <> 'click'",
-    "admission_load": """WITH c AS (SELECT conv_id, count(*) AS turns, sum(length(text))::BIGINT AS chars, count(*) FILTER (role = 'user') AS asked FROM conversations GROUP BY conv_id)
-SELECT *, chars > 2000 AS refused FROM c""",
+    "admission_load": """WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS due, 1 AS step FROM events UNION ALL SELECT user_id, event_id, epoch_us(ts) + 3600000000, -1 FROM events),
+r AS (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY due, step, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS open FROM e) SELECT user_id, event_id, open, open > 2 AS refused FROM r WHERE step = 1""",
     "tumbling_events": "SELECT epoch(time_bucket(INTERVAL 10 MINUTE, ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL",
 }

@@ -51,9 +51,10 @@ def reproj_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
     counts = points.groupBy("pair").agg(F.count_if(F.col("l_returnflag") == "R").alias("inliers"))
-    rms = geometry.residual(points, geometry.affine(points, "pair"), "pair")
+    maps = geometry.affine(points, "pair")
+    rms = geometry.residual(points, maps, "pair").join(maps.select("pair", geometry.condition(*map(F.col, "abcd")).alias("condition")), "pair")
     own = geometry.measures(points, "pair", DIAGONAL).join(counts, "pair").join(rms, "pair", "left")
-    reason = geometry.gated(F.col("n"), F.col("inliers"), F.col("distinct_points"), F.col("spread"), F.col("axis_ratio"), F.round("rms", 6))
+    reason = geometry.gated(F.col("n"), F.col("inliers"), F.col("distinct_points"), F.col("spread"), F.col("axis_ratio"), F.round("rms", 6), F.col("condition"))
     return own.withColumn("reason", reason)
 
 
@@ -105,9 +106,9 @@ def roi_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select(
-        "l_orderkey", "l_linenumber",
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
         (F.col("l_discount") * 10).alias("similarity"),
         F.when(F.col("l_returnflag") == "A", True).when(F.col("l_returnflag") == "N", False).alias("verified"),
         (F.col("l_linestatus") == "O").alias("refuted"),
@@ -132,10 +133,14 @@ def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", *[_rounded(F.col(f"f_{k}") + 1e-9, 5).alias(k) for k in fusion.PAIR_WEIGHTS])
 
 
+#: What tells the rows of lineitem apart.
+_ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
 def pair_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fusion.pair_features(_pair_rows(spark, sf_dir).where("l_linenumber = 1"))
-    out = fusion.contributions(rows, ["l_orderkey"], fusion.PAIR_WEIGHTS, fusion.PAIR_PRIOR)
-    return out.groupBy("l_orderkey").agg(F.count("*").alias("terms"), F.round(F.sum("contribution"), 5).alias("logit"), F.max(F.when(F.col("rank") == 1, F.col("name"))).alias("first"))
+    """Each pair's terms with their rank and the width of their bars."""
+    out = fusion.contributions(fusion.pair_features(_pair_rows(spark, sf_dir)), _ROW, fusion.PAIR_WEIGHTS, fusion.PAIR_PRIOR)
+    return out.select(*_ROW, "name", _rounded(F.col("contribution") + 1e-9, 5).alias("contribution"), "rank", _rounded(F.col("bar") + 1e-9, 3).alias("bar"))
 
 
 def verdict_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,10 +196,10 @@ _AFFINE = f"""{_POINTS}, g AS (SELECT pair, count(*) AS n, avg(x) AS mx, avg(y)
 f0 AS (SELECT *, xx * yy - xy * xy AS det FROM g WHERE xx * yy - xy * xy > 1e-9),
 f1 AS (SELECT *, (xu * yy - yu * xy) / det AS a, (yu * xx - xu * xy) / det AS b, (xv * yy - yv * xy) / det AS c, (yv * xx - xv * xy) / det AS d FROM f0),
 f AS (SELECT pair, n, a, b, c, d, mu - a * mx - b * my AS tx, mv - c * mx - d * my AS ty FROM f1)"""
-_RMS = f"{_AFFINE}, e AS (SELECT pair, sqrt(avg(power(a * x + b * y + tx - u, 2) + power(c * x + d * y + ty - v, 2))) AS rms FROM p JOIN f USING (pair) GROUP BY pair)"
+_RMS = f"{_AFFINE}, e AS (SELECT pair, sqrt(avg(power(a * x + b * y + tx - u, 2) + power(c * x + d * y + ty - v, 2))) AS rms, any_value(CASE WHEN a * a + b * b + c * c + d * d > sqrt(greatest(0, power(a * a + b * b + c * c + d * d, 2) - 4 * power(a * d - b * c, 2))) THEN sqrt((a * a + b * b + c * c + d * d + sqrt(greatest(0, power(a * a + b * b + c * c + d * d, 2) - 4 * power(a * d - b * c, 2)))) / (a * a + b * b + c * c + d * d - sqrt(greatest(0, power(a * a + b * b + c * c + d * d, 2) - 4 * power(a * d - b * c, 2))))) ELSE 'inf'::DOUBLE END) AS cond FROM p JOIN f USING (pair) GROUP BY pair)"
 _GATES = f"""{_RMS}, {_MEASURES[len(_POINTS) + 2 :]}, i AS (SELECT pair, count(*) FILTER (l_returnflag = 'R') AS inliers FROM p GROUP BY pair),
-k AS (SELECT pair, m.n, inliers, CASE WHEN m.n < 8 THEN 'too_few_matches' WHEN inliers < 15 THEN 'too_few_inliers' WHEN distinct_points < 12 THEN 'too_few_distinct'
- WHEN inliers / m.n < 0.18 THEN 'low_inlier_ratio' WHEN spread < 0.10 THEN 'low_spread' WHEN axis_ratio < 0.02 THEN 'collinear' WHEN round(rms, 6) > 5.0 THEN 'high_reproj_error' ELSE 'none' END AS reason
+k AS (SELECT pair, m.n, inliers, CASE WHEN m.n < 8 THEN 'too_few_matches' WHEN rms IS NULL THEN 'no_model' WHEN inliers < 15 THEN 'too_few_inliers' WHEN distinct_points < 12 THEN 'too_few_distinct'
+ WHEN inliers / m.n < 0.18 THEN 'low_inlier_ratio' WHEN spread < 0.10 THEN 'low_spread' WHEN axis_ratio < 0.02 THEN 'collinear' WHEN round(rms, 6) > 5.0 THEN 'high_reproj_error' WHEN cond IS NULL OR cond > 1e3 THEN 'ill_conditioned' ELSE 'none' END AS reason
  FROM m JOIN i USING (pair) LEFT JOIN e USING (pair))"""
 _PART = "s AS (SELECT p_partkey, p_size * 40 + 7 AS w, round_even(p_retailprice, 0)::INT AS h FROM part)"
 _F = {
@@ -210,10 +215,10 @@ _F = {
     "keypoint_asymmetry": "CASE WHEN lo = 0 THEN 1 ELSE least(1, greatest(0, (log10(hi::DOUBLE / lo) - 0.3010299956639812) / (1.3010299956639813 - 0.3010299956639812))) END",
     "non_injective": "(NOT injective)::INT::DOUBLE",
 }
-_PAIR = f"""r0 AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS similarity, CASE l_returnflag WHEN 'A' THEN true WHEN 'N' THEN false END AS verified, l_linestatus = 'O' AS refuted,
+_PAIR = f"""r0 AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount * 10 AS similarity, CASE l_returnflag WHEN 'A' THEN true WHEN 'N' THEN false END AS verified, l_linestatus = 'O' AS refuted,
  l_quantity::INT AS dist, l_quantity / 50 AS ratio, l_tax * 50 AS rms, l_extendedprice / 100000 AS area, (l_partkey % 4)::DOUBLE AS odd, l_suppkey % 9 AS lo, l_suppkey % 9 + l_partkey % 60 AS hi,
- l_partkey % 3 > 0 AS injective FROM lineitem WHERE l_linenumber <= 2), r1 AS (SELECT *, coalesce(verified, false) AS on_ FROM r0),
-r2 AS (SELECT l_orderkey, l_linenumber, {", ".join(f"({v})::DOUBLE AS f_{k}" for k, v in _F.items())} FROM r1),
+ l_partkey % 3 > 0 AS injective FROM lineitem), r1 AS (SELECT *, coalesce(verified, false) AS on_ FROM r0),
+r2 AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, {", ".join(f"({v})::DOUBLE AS f_{k}" for k, v in _F.items())} FROM r1),
 r3 AS (SELECT *, {fusion.PAIR_PRIOR} + {" + ".join(f"({w}) * f_{k}" for k, w in fusion.PAIR_WEIGHTS.items())} AS logit FROM r2), r AS (SELECT *, 1 / (1 + exp(-logit::DOUBLE)) AS confidence FROM r3)"""
 _BAND = "CASE WHEN {c} >= 0.85 THEN 'likely_manipulated' WHEN {c} >= 0.6 THEN 'suspicious' WHEN {c} >= 0.35 THEN 'inconclusive' ELSE 'clean' END"
 
@@ -240,8 +245,11 @@ FROM n a JOIN n b ON a.label < b.label""",
  AND p_retailprice / 40 >= n_nationkey % 7 * 5 AND p_retailprice / 40 < n_nationkey % 7 * 5 + 6)""",
     "pair_features": f"WITH {_PAIR} SELECT l_orderkey, l_linenumber, {', '.join(f'round(f_{k} + 1e-9::DOUBLE, 5) + 0.0 AS {k}' for k in _F)} FROM r",
     "pair_score": f"WITH {_PAIR} SELECT l_orderkey, l_linenumber, round(logit, 5) AS logit, round(confidence, 5) AS confidence, {_BAND.format(c='round(confidence, 9)')} AS verdict FROM r",
-    "pair_contributions": f"""WITH {_PAIR}, o AS (SELECT * FROM r WHERE l_linenumber = 1)
-SELECT l_orderkey, sum(1 + {" + ".join(f"(f_{k} <> 0)::INT" for k in _F)})::BIGINT AS terms, round(sum(logit), 5) AS logit, 'prior' AS first FROM o GROUP BY l_orderkey""",
+    "pair_contributions": f"""WITH {_PAIR}, t AS (SELECT {", ".join(_ROW)}, unnest([{{'name': 'prior', 'place': 0, 'contribution': {fusion.PAIR_PRIOR}::DOUBLE, 'used': true}},
+ {", ".join(f"{{'name': '{k}', 'place': {i}, 'contribution': f_{k} * ({w})::DOUBLE, 'used': f_{k} <> 0}}" for i, (k, w) in enumerate(fusion.PAIR_WEIGHTS.items(), 1))}]) AS u FROM r),
+o AS (SELECT {", ".join(_ROW)}, u.name AS name, u.place AS place, u.contribution AS contribution FROM t WHERE u.used)
+SELECT {", ".join(_ROW)}, name, round(contribution + 1e-9::DOUBLE, 5) + 0.0 AS contribution, row_number() OVER (PARTITION BY {", ".join(_ROW)} ORDER BY name <> 'prior', round(abs(contribution), 9) DESC, place)::INT AS rank,
+ round(least(50, abs(contribution) / max(abs(contribution)) OVER (PARTITION BY {", ".join(_ROW)}) * 50) + 1e-9::DOUBLE, 3) + 0.0 AS bar FROM o""",
     "verdict_bands": f"WITH {_PAIR} SELECT {_BAND.format(c='round(confidence, 9)')} AS verdict, count(*) AS pairs FROM r GROUP BY 1",
     "clone_score": f"""WITH g AS (SELECT l_suppkey, count(*) FILTER (l_quantity > 45) AS regions, count(*) FILTER (l_quantity > 30) AS clusters, sum(l_linenumber) AS inliers, avg(l_discount) * 5 AS area, avg(l_tax) * 50 AS rms
  FROM lineitem GROUP BY l_suppkey), f AS (SELECT l_suppkey, CASE WHEN regions > 0 THEN 3.2 + 1.2 * least(1, ln(1 + inliers::DOUBLE) / ln(101.0::DOUBLE)) + 0.8 * least(1, area) + 0.6 * least(1, greatest(0, 1 - rms / 5)) ELSE 0 END

@@ -20,7 +20,8 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def screen_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = screening.screened(_vectors(spark, sf_dir), THRESHOLD, TRIGGER, TEMPERATURE).where("triggered_local")
+    """All pairs; those that do not trigger the local stage stay and say so."""
+    found = screening.screened(_vectors(spark, sf_dir), THRESHOLD, TRIGGER, TEMPERATURE)
     return found.select("vec_a", "vec_b", F.round("distance", 4).alias("distance"), F.round("similarity", 4).alias("similarity"), "is_match", "triggered_local")
 
 
@@ -49,7 +50,7 @@ def hash_index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hash_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = screening.hashes(_vectors(spark, sf_dir))
-    return screening.probed(index, index.where("vec_id < 10"), 10).select("needle", "vec_id", F.col("hamming").cast("int").alias("hamming"), "rank")
+    return screening.probed(index, index.where("vec_id % 50 = 0"), 10).select("needle", "vec_id", F.col("hamming").cast("int").alias("hamming"), "rank")
 
 
 def dihedral_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,23 +110,20 @@ def self_match_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def offset_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _vectors(spark, sf_dir)
-    at = lambda side, k: F.element_at(f"{side}_embedding", k).cast("double") * 100
-    pairs = screening.all_pairs(rows, "vec_id").select(
-        F.col("a_vec_id").alias("src"), F.col("b_vec_id").alias("dst"), (at("b", 1) - at("a", 1)).alias("dx"), (at("b", 2) - at("a", 2)).alias("dy")
-    )
-    swap = (F.col("dx") < 0) | ((F.col("dx") == 0) & (F.col("dy") < 0))
-    turned = pairs.select("src", "dst", swap.alias("swapped"), F.when(swap, -F.col("dx")).otherwise(F.col("dx")).alias("dx"), F.when(swap, -F.col("dy")).otherwise(F.col("dy")).alias("dy"))
-    return turned.select("src", "dst", "swapped", F.round(F.col("dx") / 512, 6).alias("fx"), F.round(F.col("dy") / 512, 6).alias("fy"))
+    at = lambda side, k: F.element_at(f"{side}_embedding", k).cast("double")
+    sides = [c for n, s in ((1, "a"), (2, "b")) for c in ((at(s, 1) * 100).alias(f"x{n}"), (at(s, 2) * 100).alias(f"y{n}"), (F.abs(at(s, 3)) + 1).alias(f"s{n}"), (at(s, 4) * 180).alias(f"t{n}"))]
+    pairs = screening.all_pairs(_vectors(spark, sf_dir), "vec_id").select(F.col("a_vec_id").alias("src"), F.col("b_vec_id").alias("dst"), *sides)
+    found = matching.offsets(pairs, 512.0, (1.0, 1.0, 0.5, 0.5))
+    return found.select("src", "dst", "swapped", *[(F.round(f"f{k}", 6) + F.lit(0.0)).alias(f"f{k}") for k in range(5)])
 
 
 def triplet_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    rows = rows.withColumn("next", F.col("vec_id") + 1)
-    other = rows.select(F.col("vec_id").alias("next"), F.col("label").alias("other_label"), F.col("embedding").alias("other"))
-    dist = rows.join(other, "next").select("vec_id", F.when(F.col("label") == F.col("other_label"), "same").otherwise("other").alias("kind"), X.l1_distance(F.col("embedding"), F.col("other")).alias("d"))
-    loss = F.when(F.col("kind") == "same", F.col("d")).otherwise(F.greatest(F.lit(0.0), F.lit(10.0) - F.col("d")))
-    return dist.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg(loss), 4).alias("loss"))
+    """Minus the mean of ln s(1 - same) + ln(1 - s(1 - other)) over the triplets of all anchors, and the accuracy at 0.5."""
+    near = lambda c: 1 - X.l1_distance(F.col("anchor_embedding"), F.col(c))
+    found = matching.triplets(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")).select(near("same").alias("p"), near("other").alias("q"))
+    log_s = lambda x: F.least(x, F.lit(0.0)) - F.log1p(F.exp(-F.abs(x)))
+    right = (F.col("p") >= 0).cast("int") + (F.col("q") < 0).cast("int")
+    return found.agg(F.count("*").alias("triplets"), F.round(-F.avg(log_s(F.col("p")) + log_s(-F.col("q"))), 5).alias("loss"), F.round(F.avg(right / 2), 6).alias("accuracy"))
 
 
 QUERIES = {
@@ -170,13 +168,13 @@ g AS (SELECT p.* FROM p JOIN b USING (src, dst))"""
 
 ORACLE_SQL = {
     "screen_pairs": f"""WITH p AS ({_PAIRS}) SELECT vec_a, vec_b, round(d, 4) AS distance, round(1 / (1 + exp(-({THRESHOLD} - d) / {TEMPERATURE})), 4) AS similarity,
- d < {THRESHOLD} AS is_match, true AS triggered_local FROM p WHERE d < {TRIGGER}""",
+ d < {THRESHOLD} AS is_match, d < {TRIGGER} AS triggered_local FROM p""",
     "screen_fused": _fused_sql(THRESHOLD),
     "rescore_threshold": _fused_sql(8.5),
     "embedding_hash64": f"WITH {_HASHES} SELECT vec_id, bits, length(replace(bits, '0', ''))::INT AS ones FROM h",
     "hash_index_build": f"WITH {_HASHES} SELECT vec_id, list_min(turns) AS canonical FROM h",
     "hash_index_query": f"""WITH {_HASHES}, p AS (SELECT n.vec_id AS needle, h.vec_id, list_min(list_transform(h.turns, lambda t: hamming(n.bits, t)))::INT AS hamming
- FROM h JOIN h n ON n.vec_id < 10 AND n.vec_id <> h.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY needle ORDER BY hamming, vec_id)::INT AS rank FROM p) SELECT * FROM r WHERE rank <= 10""",
+ FROM h JOIN h n ON n.vec_id % 50 = 0 AND n.vec_id <> h.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY needle ORDER BY hamming, vec_id)::INT AS rank FROM p) SELECT * FROM r WHERE rank <= 10""",
     "dihedral_prefilter": f"{_NEAR} SELECT * FROM k",
     "prefilter_coverage": f"""{_NEAR}, n AS (SELECT count(*) AS n FROM embeddings), c AS (SELECT count(*) AS kept FROM k)
  SELECT (n * (n - 1) // 2)::BIGINT AS total, kept, round(kept / (n * (n - 1) / 2), 6) AS coverage FROM n, c""",
@@ -194,9 +192,15 @@ r AS (SELECT *, row_number() OVER w AS rank FROM d WINDOW w AS (PARTITION BY ima
 q AS (SELECT *, CASE WHEN dist > 0 AND lag(dist) OVER w < 0.98 * dist THEN rank - 1 END AS gap FROM r WHERE rank <= 5 WINDOW w AS (PARTITION BY image, src ORDER BY dist, dst)),
 t AS (SELECT *, min(gap) OVER (PARTITION BY image, src) AS take FROM q)
 SELECT image, least(src, dst) AS src, greatest(src, dst) AS dst, round(min(dist), 4) AS dist FROM t WHERE rank <= take AND s >= 64 GROUP BY ALL""",
-    "offset_features": """WITH d AS (SELECT a.vec_id AS src, b.vec_id AS dst, b.embedding[1]::DOUBLE * 100 - a.embedding[1]::DOUBLE * 100 AS dx, b.embedding[2]::DOUBLE * 100 - a.embedding[2]::DOUBLE * 100 AS dy
- FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id), s AS (SELECT *, dx < 0 OR (dx = 0 AND dy < 0) AS swapped FROM d)
-SELECT src, dst, swapped, round(CASE WHEN swapped THEN -dx ELSE dx END / 512, 6) AS fx, round(CASE WHEN swapped THEN -dy ELSE dy END / 512, 6) AS fy FROM s""",
-    "triplet_loss": f"""WITH d AS (SELECT CASE WHEN a.label = b.label THEN 'same' ELSE 'other' END AS kind, {_L1} AS d FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
-SELECT kind, count(*) AS n, round(avg(CASE WHEN kind = 'same' THEN d ELSE greatest(0, 10.0 - d) END), 4) AS loss FROM d GROUP BY kind""",
+    "offset_features": """WITH e AS (SELECT vec_id, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y, abs(embedding[3]::DOUBLE) + 1 AS s, embedding[4]::DOUBLE * 180 AS t FROM embeddings),
+d AS (SELECT a.vec_id AS src, b.vec_id AS dst, b.x - a.x AS dx, b.y - a.y AS dy, ln(b.s / a.s) AS ls, CASE WHEN a.t >= 0 AND b.t >= 0 THEN radians(b.t - a.t) ELSE 0 END AS turn FROM e a JOIN e b ON a.vec_id < b.vec_id),
+s AS (SELECT *, dx < 0 OR (dx = 0 AND dy < 0) AS swapped FROM d), g AS (SELECT *, CASE WHEN swapped THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS sign FROM s)
+SELECT src, dst, swapped, round(sign * dx / 512, 6) + 0.0 AS f0, round(sign * dy / 512, 6) + 0.0 AS f1, round(0.5::DOUBLE * sign * ls, 6) + 0.0 AS f2,
+ round(0.5::DOUBLE * cos(turn * sign), 6) + 0.0 AS f3, round(0.5::DOUBLE * sin(turn * sign), 6) + 0.0 AS f4 FROM g""",
+    "triplet_loss": """WITH k AS (SELECT vec_id, label, embedding AS e, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS k FROM embeddings),
+z AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), ring AS (SELECT label, n, coalesce(lead(label) OVER (ORDER BY label), (SELECT min(label) FROM z)) AS nxt FROM z),
+w AS (SELECT a.e AS a, s.e AS s, o.e AS o FROM k a JOIN ring r ON r.label = a.label AND r.nxt <> r.label AND r.n > 1 JOIN z m ON m.label = r.nxt JOIN k s ON s.label = a.label AND s.k = (a.k + 1) % r.n
+ JOIN k o ON o.label = r.nxt AND o.k = a.k % m.n),
+d AS (SELECT 1 - list_sum(list_transform(range(1, 65), lambda i: abs(a[i]::DOUBLE - s[i]::DOUBLE))) AS p, 1 - list_sum(list_transform(range(1, 65), lambda i: abs(a[i]::DOUBLE - o[i]::DOUBLE))) AS q FROM w)
+SELECT count(*) AS triplets, round(-avg(least(p, 0) - ln(1 + exp(-abs(p))) + least(-q, 0) - ln(1 + exp(-abs(q)))), 5) AS loss, round(avg(((p >= 0)::INT + (q < 0)::INT) / 2), 6) AS accuracy FROM d""",
 }
