@@ -34,7 +34,8 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 
 
 def test_all_queries_have_sql():
-    assert set(plans.queries()) == set(plans.oracle_sql())
+    # a convex hull is beyond SQL; test_operators holds it against its definition
+    assert set(plans.queries()) - set(plans.oracle_sql()) == {"hull_area"}
 
 
 def test_entry_has_rows(spark):
