@@ -232,16 +232,25 @@ def early(uses: np.ndarray, grams: np.ndarray, at: np.ndarray, edits: int) -> tu
     return order, _apart(at.tolist(), edits + 1)
 
 
+def _parity(hashes: np.ndarray) -> int:
+    """64 bits: whether odd many of the hashes end in each place's number. An edit flips as many as it takes and gives."""
+    odd = np.bincount((hashes & np.uint64(63)).astype(np.int64), minlength=64) & 1
+    return int(np.packbits(odd.astype(np.uint8)).view(">i8")[0])
+
+
 def _placed(uses: np.ndarray):
     moves = [(more, shift) for more in range(-EDITS, EDITS + 1) for shift in range(-EDITS, EDITS + 1) if abs(shift) + abs(more - shift) <= EDITS]
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Keys of gram, length and place: an owner's are those of early runs apart, a seeker's all that an owner may have."""
         for batch in pieces_of_batches(batches, "line", 1 << 20):
-            names, rows, bands, owner = batch.schema.names, [], [], []
+            names, rows, bands, owner, points, twos = batch.schema.names, [], [], [], [], []
             get = lambda c: batch.column(names.index(c))  # noqa: B023, E731
             for r, line in enumerate(get("line").to_pylist()):
                 grams, size = _grams(line), len(line)
+                own = np.frombuffer(line.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+                points.append(_parity(wordhash.mix(own)))
+                twos.append(_parity(wordhash.grams(own, 2)))
                 first, apart = early(uses[(grams % np.uint64(CELLS)).astype(np.int64)], grams, np.arange(len(grams)), allowed(size))
                 for k in first:
                     gram, place = int(grams[k]), int(k)
@@ -253,11 +262,19 @@ def _placed(uses: np.ndarray):
                         owner.append(True)
                     rows += [r] * (len(keys_here) + (place in apart))
             of, is_owner = pa.array(rows, pa.int64()), np.asarray(owner, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(bands, pa.int64()), get("node").take(of), get("root").take(of), pa.array(is_owner), pa.array(~is_owner)], ["band", "node", "root", "owner", "seeker"])
+            parities = [pa.array(x, pa.int64()).take(of) for x in (points, twos)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bands, pa.int64()), get("node").take(of), get("root").take(of), pa.array(is_owner), pa.array(~is_owner), *parities],
+                ["band", "node", "root", "owner", "seeker", "points", "twos"],
+            )
 
     return placed
 
 
+#: An edit changes two code points at most, and two pairs of neighbours for two others.
+_ALIKE = f"bit_count(x.points ^ y.points) <= {2 * EDITS} and bit_count(x.twos ^ y.twos) <= {4 * EDITS}"
+
+
 def _rarest(texts: DataFrame):
     def finer(roots: DataFrame) -> DataFrame:
         lines = written(texts.join(roots, "node").select("node", "root", "line"), "open-lines")
@@ -265,7 +282,7 @@ def _rarest(texts: DataFrame):
         # as many numbers as there are cells, for any number of lines
         for r in lines.select("line").mapInArrow(_cells, "cell int, uses bigint").groupBy("cell").agg(F.least(F.sum("uses"), F.lit(2**31 - 1)).cast("int").alias("uses")).collect():
             uses[r["cell"]] = r["uses"]
-        return lines.mapInArrow(_placed(uses), "band bigint, node binary, root binary, owner boolean, seeker boolean")
+        return lines.mapInArrow(_placed(uses), "band bigint, node binary, root binary, owner boolean, seeker boolean, points bigint, twos bigint")
 
     return finer
 
@@ -295,7 +312,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     on = rows["doc_id"].eqNullSafe(asked["_id"]) & rows["_text"].eqNullSafe(asked["_other"])
     texts = written(rows.join(asked, on).select("text", "asked").mapInArrow(_asked, "node binary, line string").dropDuplicates(["node"]), "bucket-lines")
     test = lambda pairs: paired(pairs, texts).mapInArrow(_near, LINK)
-    found = linked_roots(members.select("band", "node"), test, _rarest(texts))
+    found = linked_roots(members.select("band", "node"), test, _rarest(texts), _ALIKE)
 
     classed = exact.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = classed.groupBy("root").agg(F.min("first").alias("kept"), F.sum("uses").alias("uses")).where("uses > 1")
