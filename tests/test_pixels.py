@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from twinspot.operators import pixels, robust
+from twinspot.operators import copymove, pixels, robust
 from twinspot.sources import images as source
 
 
@@ -133,3 +133,14 @@ def test_inverse_maps_back(spark):
     got = robust.inverse(spark.createDataFrame([row, (2, *[1.0] * 9)], shape)).collect()
     assert [r["pair"] for r in got] == [1]
     assert np.allclose(np.reshape(got[0][1:], (3, 3)) @ np.reshape(row[1:], (3, 3)), np.eye(3), atol=1e-9)
+
+
+def test_regions_of_clusters(spark):
+    turn = np.asarray([[0.0, -1.0, 300.0], [1.0, 0.0, 20.0], [0, 0, 1]])
+    near = np.asarray([[1.0, 0.0, 5.0], [0.0, 1.0, 5.0], [0, 0, 1]])
+    rows = [("copied", *p) for p in _pairs(turn, 40, 0.3, 2).tolist()] + [("near", *p) for p in _pairs(near, 40, 0.0, 3).tolist()] + [("few", *p) for p in _pairs(turn, 5, 0.0, 4).tolist()]
+    rows += [("line", float(k), 0.0, float(k + 50), 0.0) for k in range(20)]
+    got = {r["c"]: r for r in copymove.regions(spark.createDataFrame(rows, "c string, x double, y double, u double, v double"), "c").collect()}
+    assert {c: r["reason"] for c, r in got.items()} == {"copied": "none", "near": "too_close", "few": "too_few_matches", "line": "no_model"}
+    assert abs(got["copied"]["rotation_deg"] - 90) < 1 and abs(got["copied"]["scale_x"] - 1) < 0.02 and not got["copied"]["flip"]
+    assert got["line"]["inliers"] == 0 and got["line"]["rotation_deg"] is None

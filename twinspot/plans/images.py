@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import pixels, robust
+from ..operators import copymove, pixels, robust
 from ..sources import table
 
 #: The planted map of a supplier: its linear part, and what its number adds to the shifts.
@@ -58,7 +58,12 @@ def robust_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("pair", "matches", "inliers", F.round("ratio", 6).alias("ratio"), (F.round("rms", 4) + F.lit(0.0)).alias("rms"))
 
 
-QUERIES = {f.__name__: f for f in (panel_halves, panel_gradients, robust_affine, robust_measures)}
+def copied_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = copymove.regions(_matches(spark, sf_dir), "pair")
+    return own.select("pair", "matches", "inliers", "distinct_from", "distinct_to", F.round("shift", 4).alias("shift"), F.round("rotation_deg", 3).alias("rotation_deg"), "flip", "reason")
+
+
+QUERIES = {f.__name__: f for f in (panel_halves, panel_gradients, robust_affine, robust_measures, copied_regions)}
 
 _GRAY = "p AS (SELECT vec_id, list_transform(embedding, lambda x: least(255, greatest(0, round_even(x::DOUBLE * 256 + 128, 0)::INT))) AS v FROM embeddings)"
 #: A row or column next to the panel's edge, mirrored.
@@ -79,4 +84,10 @@ SELECT vec_id, k::INT AS place, round_even((v[o + 1] + v[o + 2] + v[o + 9] + v[o
 m AS (SELECT vec_id, max(s) AS most FROM e GROUP BY vec_id) SELECT vec_id, k::INT AS place, CASE WHEN most > 0 THEN round_even(s * (255 / most), 0)::INT ELSE 0 END AS value FROM e JOIN m USING (vec_id)""",
     "robust_affine": f"WITH {_GOOD} SELECT pair, inliers, {A}::DOUBLE AS a, {B}::DOUBLE AS b, s::DOUBLE AS tx, {C}::DOUBLE AS c, {D}::DOUBLE AS d, -s::DOUBLE + 0.0 AS ty FROM g",
     "robust_measures": f"WITH {_GOOD} SELECT pair, matches, inliers, round(inliers / matches, 6) AS ratio, 0.0::DOUBLE AS rms FROM g",
+    "copied_regions": f"""WITH m AS (SELECT l_suppkey AS pair, l_returnflag <> 'R' AS good, l_quantity * 8 AS x, l_extendedprice / 200 AS y, l_suppkey % 50 AS s FROM lineitem),
+p AS (SELECT *, {A}::DOUBLE * x + {B}::DOUBLE * y + s AS u, {C}::DOUBLE * x + {D}::DOUBLE * y - s AS v FROM m),
+g AS (SELECT pair, count(*) AS matches, count(*) FILTER (good) AS inliers, count(DISTINCT (round_even(x * 2, 0), round_even(y * 2, 0))) FILTER (good) AS distinct_from,
+ count(DISTINCT (round_even(u * 2, 0), round_even(v * 2, 0))) FILTER (good) AS distinct_to, sqrt(power(median(u - x) FILTER (good), 2) + power(median(v - y) FILTER (good), 2)) AS shift FROM p GROUP BY pair)
+SELECT pair, matches, inliers, distinct_from, distinct_to, round(shift, 4) AS shift, round(degrees(atan2({C}::DOUBLE, {A}::DOUBLE)), 3) AS rotation_deg, {A * D - B * C < 0} AS flip,
+ CASE WHEN matches < 8 THEN 'too_few_matches' WHEN inliers < 8 THEN 'too_few_inliers' WHEN least(distinct_from, distinct_to) < 8 THEN 'too_few_distinct' WHEN shift < 32 THEN 'too_close' ELSE 'none' END AS reason FROM g""",
 }
