@@ -46,7 +46,8 @@ def crowded(listed: DataFrame) -> DataFrame:
     # said at once, so that Spark doesn't infer it for one use alone and shuffle the rows again for the other
     dealt = listed.where("band is not null and short is not null").repartition("band")
     sizes = dealt.groupBy("band").agg(F.min("short").alias("lo"), F.max("short").alias("hi"))
-    return dealt.join(sizes.where("lo != hi").select("band"), "band", "left_semi")
+    # no semi-join, which Spark would push below the shuffle: then each use would have a shuffle of its own
+    return dealt.join(sizes.where("lo != hi").select("band"), "band")
 
 
 def _open(members: DataFrame) -> DataFrame:
