@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from .common import pieces_of_batches, text_key, written
 EDITS, PER = 2, 12
 #: A line of ``e * PER`` code points has more runs than e edits change: more than e * GRAM.
 GRAM = 5
+#: Lengths, and places, that one cell of the keys of runs spans. Wider cells give fewer keys; the join compares lengths and places themselves.
+WIDE = 8
 #: Cells in which the uses of runs are counted. Any order of runs finds all links; a good estimate keeps buckets small.
 CELLS = 1 << 18
 #: Distinct lines that a task remembers, so as to list each once.
@@ -42,6 +45,7 @@ _SEEN = 400_000
 #: Code points from which on segments are hashed one by one.
 _LONG = 1 << 20
 
+_PLACED = "band bigint, node binary, root binary, owner boolean, seeker boolean, place int, size int, points bigint, twos bigint"
 _LINES = "doc_id bigint, _text bigint, line int, node binary, size int"
 
 
@@ -239,40 +243,45 @@ def _parity(hashes: np.ndarray) -> int:
 
 
 def _placed(uses: np.ndarray):
-    moves = [(more, shift) for more in range(-EDITS, EDITS + 1) for shift in range(-EDITS, EDITS + 1) if abs(shift) + abs(more - shift) <= EDITS]
-
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Keys of gram, length and place: an owner's are those of early runs apart, a seeker's all that an owner may have."""
+        """A line's early runs, each in all cells of length and place where an owner of it may be; runs apart are owners in their own cell."""
         for batch in pieces_of_batches(batches, "line", 1 << 20):
-            names, rows, bands, owner, points, twos = batch.schema.names, [], [], [], [], []
+            names, rows, bands, owner, places, sizes, points, twos = batch.schema.names, [], [], [], [], [], [], []
             get = lambda c: batch.column(names.index(c))  # noqa: B023, E731
             for r, line in enumerate(get("line").to_pylist()):
                 grams, size = _grams(line), len(line)
                 own = np.frombuffer(line.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
                 points.append(_parity(wordhash.mix(own)))
                 twos.append(_parity(wordhash.grams(own, 2)))
+                sizes.append(size)
                 first, apart = early(uses[(grams % np.uint64(CELLS)).astype(np.int64)], grams, np.arange(len(grams)), allowed(size))
                 for k in first:
                     gram, place = int(grams[k]), int(k)
-                    keys_here = [hash((gram, size + more, place + shift)) for more, shift in moves]
-                    bands += keys_here
-                    owner += [False] * len(keys_here)
-                    if place in apart:
-                        bands.append(hash((gram, size, place)))
-                        owner.append(True)
-                    rows += [r] * (len(keys_here) + (place in apart))
-            of, is_owner = pa.array(rows, pa.int64()), np.asarray(owner, bool)
-            parities = [pa.array(x, pa.int64()).take(of) for x in (points, twos)]
+                    for cell in product(_reach(size), _reach(place)):
+                        bands.append(hash((gram, *cell)))
+                        owner.append(place in apart and cell == (size // WIDE, place // WIDE))
+                        places.append(place)
+                        rows.append(r)
+            of = pa.array(rows, pa.int64())
+            of_line = [pa.array(x, t).take(of) for x, t in ((sizes, pa.int32()), (points, pa.int64()), (twos, pa.int64()))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bands, pa.int64()), get("node").take(of), get("root").take(of), pa.array(is_owner), pa.array(~is_owner), *parities],
-                ["band", "node", "root", "owner", "seeker", "points", "twos"],
+                [pa.array(bands, pa.int64()), get("node").take(of), get("root").take(of), pa.array(owner, pa.bool_()), pa.array([True] * len(rows), pa.bool_()), pa.array(places, pa.int32()), *of_line],
+                ["band", "node", "root", "owner", "seeker", "place", "size", "points", "twos"],
             )
 
     return placed
 
 
-#: An edit changes two code points at most, and two pairs of neighbours for two others.
-_ALIKE = f"bit_count(x.points ^ y.points) <= {2 * EDITS} and bit_count(x.twos ^ y.twos) <= {4 * EDITS}"
+def _reach(x: int) -> range:
+    """Cells of a length or place that ``EDITS`` edits can lead to."""
+    return range((x - EDITS) // WIDE, (x + EDITS) // WIDE + 1)
+
+
+#: Edits before a run move it, all edits change the length. An edit changes two code points at most, and two pairs of neighbours for two others.
+_ALIKE = (
+    f"abs(x.place - y.place) + abs(x.size - y.size - x.place + y.place) <= {EDITS}"
+    f" and bit_count(x.points ^ y.points) <= {2 * EDITS} and bit_count(x.twos ^ y.twos) <= {4 * EDITS}"
+)
 
 
 def _rarest(texts: DataFrame):
@@ -282,7 +291,7 @@ def _rarest(texts: DataFrame):
         # as many numbers as there are cells, for any number of lines
         for r in lines.select("line").mapInArrow(_cells, "cell int, uses bigint").groupBy("cell").agg(F.least(F.sum("uses"), F.lit(2**31 - 1)).cast("int").alias("uses")).collect():
             uses[r["cell"]] = r["uses"]
-        return lines.mapInArrow(_placed(uses), "band bigint, node binary, root binary, owner boolean, seeker boolean, points bigint, twos bigint")
+        return lines.mapInArrow(_placed(uses), _PLACED)
 
     return finer
 
