@@ -9,6 +9,7 @@ import string
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -162,6 +163,24 @@ def test_linked_lines_share_an_early_run():
         assert near(apart_a, first_b) or near(apart_b, first_a)
 
 
+def test_linked_lines_meet_in_a_cell():
+    rng = random.Random(6)
+    placed = line_dedup._placed(np.zeros(line_dedup.CELLS, np.int32))
+    for _ in range(400):
+        a = "".join(rng.choice("abcd") for _ in range(rng.randint(PER, 90)))
+        b = _edited(rng, a)
+        if a == b or not within(a, b, allowed(min(len(a), len(b)))):
+            continue
+        batch = pa.RecordBatch.from_pydict({"node": [b"a", b"b"], "root": [b"a", b"b"], "line": [a, b]})
+        rows = [r for out in placed(iter([batch])) for r in out.to_pylist()]
+        assert any(
+            x["owner"] and y["seeker"] and x["node"] != y["node"] and x["band"] == y["band"]
+            and abs(x["place"] - y["place"]) + abs(x["size"] - y["size"] - x["place"] + y["place"]) <= EDITS
+            and (x["points"] ^ y["points"]).bit_count() <= 2 * EDITS and (x["twos"] ^ y["twos"]).bit_count() <= 4 * EDITS
+            for x in rows for y in rows
+        )
+
+
 def test_hot_bucket_of_unlinked_lines(spark):
     rng = random.Random(11)
     word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
