@@ -1,7 +1,8 @@
 """MinHash near-dedup: many universal hash minima, banding, verification, connected components.
 
 A text's set holds its distinct shingles of ``SHINGLE`` words (A-Z in lower case); with fewer words, all of them
-as one. Texts with one set, told by 128 bits, are one node, so copies cost a row each and no pairs. Each node has
+as one. Texts with one set, told by two independent hashes of 64 bits for each
+word, are one node, so copies cost a row each and no pairs. Each node has
 ``bands * ROWS`` minima of universal hashes ``a * x + b``; nodes that agree on all minima of a band share a bucket.
 There are so many bands that a pair at the threshold misses all buckets with a probability under ``MISS``: 35 at 80
 percent.
@@ -54,25 +55,25 @@ def _universal(n: int, seed: int = 20_231) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**64, n, np.uint64) | np.uint64(1), rng.integers(0, 2**64, n, np.uint64)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of each text, text after text, and where each text's begin."""
-    n, data = len(offsets) - 1, wordhash.lower(data)
+def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE, n: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """n independent hashes of the distinct shingles of each text, text after text, and where each text's begin."""
+    texts, data = len(offsets) - 1, wordhash.lower(data)
     starts, ends, text = wordhash.spans(data, offsets)
-    words = wordhash.hashes(data, starts, ends)
-    grams = wordhash.grams(words, size)
-    same = text[: len(grams)] == text[size - 1 :] if len(grams) else np.zeros(0, bool)
-    doc, found = text[: len(grams)][same], grams[same]
-    per_text = np.bincount(text, minlength=n)
+    words = wordhash.hashes(data, starts, ends, n)
+    grams = np.stack([wordhash.grams(w, size) for w in words])
+    same = text[: grams.shape[1]] == text[size - 1 :] if grams.shape[1] else np.zeros(0, bool)
+    doc, found = text[: grams.shape[1]][same], grams[:, same]
+    per_text = np.bincount(text, minlength=texts)
     short = np.flatnonzero((per_text > 0) & (per_text < size))
     if len(short):
         first = np.concatenate([[0], np.cumsum(per_text)])
-        whole = [wordhash.mix(wordhash.grams(words[first[k] : first[k + 1]], per_text[k]) + np.uint64(per_text[k]))[0] for k in short]
-        doc, found = np.concatenate([doc, short]), np.concatenate([found, np.asarray(whole, np.uint64)])
-    order = np.lexsort((found, doc))
-    doc, found = doc[order], found[order]
-    new = np.ones(len(found), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (found[1:] != found[:-1])
-    return found[new], np.searchsorted(doc[new], np.arange(n + 1))
+        whole = [[wordhash.mix(wordhash.grams(w[first[k] : first[k + 1]], per_text[k]) + np.uint64(per_text[k]))[0] for k in short] for w in words]
+        doc, found = np.concatenate([doc, short]), np.concatenate([found, np.asarray(whole, np.uint64)], axis=1)
+    order = np.lexsort((*found[::-1], doc))
+    doc, found = doc[order], found[:, order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (found[:, 1:] != found[:, :-1]).any(axis=0)
+    return found[:, new], np.searchsorted(doc[new], np.arange(texts + 1))
 
 
 def _sketched(n_bands: int):
@@ -80,17 +81,17 @@ def _sketched(n_bands: int):
         mul, add = _universal(ROWS * n_bands)
         turn = np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in pieces_of_batches(batches, "text", 1 << 20):
-            found, at = shingles(*buffers(batch.column(2)))
+            found, at = shingles(*buffers(batch.column(2)), n=2)
             size = np.diff(at)
             full = np.flatnonzero(size)
-            x, begin = found >> np.uint64(32), at[:-1][full]
+            x, begin = found[0] >> np.uint64(32), at[:-1][full]
             minima = np.zeros((len(full), ROWS * n_bands), np.uint32)
             node = np.zeros((len(full), 2), np.uint64)
             if len(full):
                 for k in range(ROWS * n_bands):
                     minima[:, k] = np.minimum.reduceat(x * mul[k] + add[k], begin) >> np.uint64(32)
-                for half, turned in enumerate((found, found ^ np.uint64(0xA0761D6478BD642F))):
-                    node[:, half] = wordhash.mix(np.add.reduceat(wordhash.mix(turned), begin) ^ size[full].astype(np.uint64))
+                for half in range(2):
+                    node[:, half] = wordhash.mix(np.add.reduceat(wordhash.mix(found[half]), begin) ^ size[full].astype(np.uint64))
             rows = minima.reshape(len(full), n_bands, ROWS).astype(np.uint64)
             keys = wordhash.mix((wordhash.mix(rows + turn)).sum(axis=2) + np.arange(n_bands, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
             signature, nodes, bands = ([None] * len(size) for _ in range(3))
@@ -141,7 +142,7 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(at)
         of = np.repeat(np.arange(len(size)), size)
         columns = [batch.column(batch.schema.names.index(c)).take(pa.array(of)) for c in ("node", "root")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(found.view(np.int64)), pa.array(size[of].astype(np.int32))], ["node", "root", "item", "size"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(found[0].view(np.int64)), pa.array(size[of].astype(np.int32))], ["node", "root", "item", "size"])
 
 
 def _rarest(texts: DataFrame, percent: int):

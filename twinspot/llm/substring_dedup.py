@@ -10,7 +10,7 @@ window. Documents then drop the words of windows that a document of smaller doc_
 
 A route with more than ``SHARD_WORDS`` words of unequal segments would not fit a shard. Such a route (a passage in
 very many surroundings) is dealt out by window instead: its windows are matched on a 128-bit hash of their words by
-an aggregate that sums up in every task first. Words stand as 64-bit hashes in all of this.
+an aggregate that sums up in every task first. Words stand as two independent 64-bit hashes in all of this.
 
 A null or empty text has no words. A row with null doc_id has no order: it is left whole and removes nothing. Rows
 with equal doc_id count as one document. Repeated rows come out each.
@@ -37,9 +37,9 @@ SHARD_WORDS = 300_000
 #: Shares into which the rows of one window are dealt.
 SHARES = 64
 
-_SEGMENTS = "doc_id bigint, _text bigint, route bigint, seg bigint, start int, n int"
-_WORDS = "route bigint, seg bigint, first_id bigint, n int, words binary"
-_FIRSTS = "route bigint, seg bigint, firsts array<bigint>"
+_SEGMENTS = "doc_id bigint, _text bigint, route bigint, seg binary, start int, n int"
+_WORDS = "route bigint, seg binary, first_id bigint, n int, words binary"
+_FIRSTS = "route bigint, seg binary, firsts array<bigint>"
 _OUT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
 
@@ -53,12 +53,9 @@ def _least(x: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-def _span_hash(words: np.ndarray, starts: np.ndarray, n: int | np.ndarray, base: int) -> np.ndarray:
-    """Hash of n words from each start, by running sums; the base is odd."""
-    power = np.cumprod(np.full(len(words) + 1, base, np.uint64))
-    inverse = np.cumprod(np.full(len(words) + 1, pow(base, -1, 1 << 64), np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wordhash.mix(words) * power[: len(words)])])
-    return wordhash.mix((sums[starts + n] - sums[starts]) * inverse[starts] + np.asarray(n).astype(np.uint64))
+def _digest(words: np.ndarray) -> bytes:
+    """128 bits of a run of words, each with two hashes."""
+    return hashlib.blake2b(words, digest_size=16).digest()
 
 
 def segments(words: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,29 +68,27 @@ def segments(words: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple
 
 
 def _words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each word, side by side, and where each text's words begin."""
     starts, ends, text = wordhash.spans(data, offsets)
-    return wordhash.hashes(data, starts, ends), np.searchsorted(text, np.arange(len(offsets)))
-
-
-_SEG_BASE, _WIN_BASES = 0xA0761D6478BD642F, (0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
+    return wordhash.pairs(data, starts, ends), np.searchsorted(text, np.arange(len(offsets)))
 
 
 def _segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces_of_batches(batches, "text", 1 << 20):
         words, at = _words_of(*buffers(batch.column(2)))
-        parts = [[], [], [], [], []]
+        parts, seg = [[], [], [], []], []
         for k in range(batch.num_rows):
             own = words[at[k] : at[k + 1]]
-            route, start, n = segments(own)
+            route, start, n = segments(np.ascontiguousarray(own["first"]))
             if len(route):
-                seg = _span_hash(own, start, n + WINDOW - 1, _SEG_BASE)
-                for column, v in zip(parts, (np.full(len(route), k), route, seg, start, n), strict=True):
+                seg += [_digest(own[s:e]) for s, e in zip(start.tolist(), (start + n + WINDOW - 1).tolist(), strict=True)]
+                for column, v in zip(parts, (np.full(len(route), k), route, start, n), strict=True):
                     column.append(v)
-        if parts[0]:
-            row, route, seg, start, n = (np.concatenate(p) for p in parts)
+        if seg:
+            row, route, start, n = (np.concatenate(p) for p in parts)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(take), batch.column(1).take(take), pa.array(route.astype(np.int64)), pa.array(seg.astype(np.int64)),
+                batch.column(0).take(take), batch.column(1).take(take), pa.array(route.astype(np.int64)), pa.array(seg, pa.binary()),
                 pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)),
             ], ["doc_id", "_text", "route", "seg", "start", "n"])
 
@@ -107,20 +102,19 @@ def _with_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = words[at[k] : at[k + 1]]
             out += [(s["route"], s["seg"], doc_id, s["n"], own[s["start"] : s["start"] + s["n"] + WINDOW - 1].tobytes()) for s in asked]
         if out:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["route", "seg", "first_id", "n", "words"])
 
 
 def _firsts_of(rows: list[tuple]) -> pa.RecordBatch:
     """Index the segments of a shard and find each window's first document."""
-    texts = [np.frombuffer(r[4], np.uint64) for r in rows]
-    known, flat = np.unique(np.concatenate(texts), return_inverse=True)
-    flat = flat.astype(np.int64) + 1
+    texts = [np.frombuffer(r[4], wordhash.PAIR) for r in rows]
+    flat, known = wordhash.numbered(np.concatenate(texts))
     ends = np.cumsum([len(t) for t in texts])
     parts = np.split(flat, ends[:-1])
     symbols = np.concatenate([x for p in parts for x in (p, np.zeros(1, np.int64))])
     owner = np.repeat(np.asarray([r[2] for r in rows], np.int64), [len(p) + 1 for p in parts])
-    index = FMIndex(symbols, len(known) + 1)
+    index = FMIndex(symbols, known + 1)
     groups = index.edges(WINDOW)
     first = np.minimum.reduceat(owner[index.order], groups[:-1])
     firsts = [np.zeros(r[3], np.int64) for r in rows]
@@ -129,7 +123,7 @@ def _firsts_of(rows: list[tuple]) -> pa.RecordBatch:
     for text, place, row in statistics(index, parts, WINDOW):
         flat_firsts[where[text] + place] = first[np.searchsorted(groups, row, side="right") - 1]
     return pa.RecordBatch.from_arrays([
-        pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+        pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()),
         pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(flat_firsts)),
     ], ["route", "seg", "firsts"])
 
@@ -140,7 +134,7 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if group and group[0][0] != row[0]:
-                size = sum(len(r[4]) // 8 for r in group)
+                size = sum(len(r[4]) // wordhash.PAIR.itemsize for r in group)
                 if shard and held + size > SHARD_WORDS:
                     yield _firsts_of(shard)
                     shard, held = [], 0
@@ -151,14 +145,14 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of too large a route, by hash."""
+    """Each window of too large a route, by a digest of its words."""
     for batch in batches:
         for route, seg, first_id, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words, place = np.frombuffer(raw, np.uint64), np.arange(n)
-            h = [_span_hash(words, place, WINDOW, b).astype(np.int64) for b in _WIN_BASES]
+            words = np.frombuffer(raw, wordhash.PAIR)
+            windows = [_digest(words[k : k + WINDOW]) for k in range(n)]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(n, route)), pa.array(np.full(n, seg)), pa.array(np.full(n, first_id)), pa.array(place.astype(np.int32)), *map(pa.array, h),
-            ], ["route", "seg", "first_id", "at", "h1", "h2"])
+                pa.array(np.full(n, route)), pa.array([seg] * n, pa.binary()), pa.array(np.full(n, first_id)), pa.array(np.arange(n, dtype=np.int32)), pa.array(windows, pa.binary()),
+            ], ["route", "seg", "first_id", "at", "window"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,12 +191,12 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     cool = worded.join(hot, "route", "left_anti").repartition("route").sortWithinPartitions("route", "seg")
     firsts = cool.mapInArrow(_indexed, _FIRSTS)
 
-    each = written(worded.join(hot, "route", "left_semi").mapInArrow(_windows, "route bigint, seg bigint, first_id bigint, at int, h1 bigint, h2 bigint"), "windows")
-    first_of = each.groupBy("h1", "h2").agg(F.min("first_id").alias("first"))
+    each = written(worded.join(hot, "route", "left_semi").mapInArrow(_windows, "route bigint, seg binary, first_id bigint, at int, window binary"), "windows")
+    first_of = each.groupBy("window").agg(F.min("first_id").alias("first"))
     # one window may be in a large part of these rows: its answer is given to each of a few shares of them
     shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))
     salted = each.withColumn("share", F.pmod(F.xxhash64("seg"), F.lit(SHARES)).cast("int"))
-    by_window = salted.join(first_of.withColumn("share", shares), ["h1", "h2", "share"]).groupBy("route", "seg").agg(F.array_sort(F.collect_list(F.struct("at", "first"))).alias("w"))
+    by_window = salted.join(first_of.withColumn("share", shares), ["window", "share"]).groupBy("route", "seg").agg(F.array_sort(F.collect_list(F.struct("at", "first"))).alias("w"))
     by_window = by_window.select("route", "seg", F.col("w.first").alias("firsts"))
 
     held = firsts.union(by_window)
