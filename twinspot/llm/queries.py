@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, line_dedup, near_dup, packing, substring_dedup, token_counts, token_files, toxicity, transport
+from . import decontaminate, language, line_dedup, near_dup, packing, pii, runs, substring_dedup, token_counts, token_files, toxicity, transport, vector_codes
 from .common import table, tokenizer_path
 
 
@@ -49,6 +49,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op11_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.figures(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.figures(runs.planted(table(spark, sf_dir, "documents")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.coded(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -62,6 +75,9 @@ QUERIES = {
         op8_token_counts,
         op9_line_dedup,
         op10_decontamination,
+        op11_private_data,
+        op12_periodic_runs,
+        op13_vector_codes,
     )
 }
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
