@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, line_dedup, near_dup, packing, pii, runs, substring_dedup, token_counts, token_files, toxicity, transport, vector_codes
+from . import decontaminate, language, line_dedup, near_dup, oracle, packing, pii, runs, substring_dedup, token_counts, token_files, toxicity, transport, vector_codes
 from .common import table, tokenizer_path
 
 
@@ -114,3 +114,4 @@ o AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)""",
 }
+ORACLE_SQL |= oracle.SQL
