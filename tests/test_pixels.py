@@ -46,6 +46,31 @@ def test_images_of_a_folder(spark, tmp_path):
         source.images(spark, str(tmp_path / "sub"), 1).sparkSession and source.images(spark, str(_empty(tmp_path)))
 
 
+def test_bad_files_keep_their_rows(spark):
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    png = lambda w, h, colour, raw, extra=b"": source._PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0)) + extra + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    files = {
+        "palette": png(2, 1, 3, b"\0\1\7", chunk(b"PLTE", bytes(6))), "empty": png(0, 0, 0, b""), "bomb": png(4, 4, 0, bytes(50_000_000)), "short": png(40, 40, 0, bytes(30)),
+        "filter": png(2, 1, 0, b"\x09\1\1"), "none": b"", "null": None, "bmp": b"BM" + bytes(20), "tiff": b"II*\0" + bytes(20), "good": source.encode_png(_texture(20, 30)),
+    }
+    got = {r["path"]: r for r in source.decoded(spark.createDataFrame(list(files.items()), "path string, content binary")).collect()}
+    assert set(got) == set(files) and {k for k, r in got.items() if r["error"] is None} == {"good", "bomb"}
+    # what goes beyond the header's size is not read
+    assert got["bomb"]["gray"] == bytes(16) and got["null"]["sha256"] is None and got["good"]["sha256"] == __import__("hashlib").sha256(files["good"]).hexdigest()
+
+
+def test_bitmaps_and_tiffs():
+    image = _texture(13, 21)
+    colour = np.stack([image, image // 2, 255 - image], axis=2)
+    gray = np.rint(colour @ np.asarray([0.299, 0.587, 0.114])).astype(np.uint8)
+    for content in (source.encode_bmp(image), source.encode_tiff(image), source.encode_tiff(image, packed=True)):
+        assert source.probe(content) == (21, 13) and (source.decode(content) == image).all()
+    assert (source.decode(source.encode_bmp(colour)) == gray).all() and (source.decode(source.encode_tiff(colour)) == gray).all()
+
+
 def _empty(folder):
     (folder / "empty").mkdir()
     return folder / "empty"
@@ -84,7 +109,38 @@ def test_panels_of_a_figure(spark, columns, rows):
             y, x = gutter + r * (tile[0] + gutter), gutter + c * (tile[1] + gutter)
             figure[y : y + tile[0], x : x + tile[1]] = _texture(*tile, seed=r * 7 + c) // 2
     df = spark.createDataFrame([("f", figure.shape[1], figure.shape[0], figure.tobytes())], "id string, width int, height int, gray binary")
-    assert pixels.split(df, "id").count() == rows * columns
+    found = pixels.split(df, "id").collect()
+    assert len(found) == rows * columns and all(p["confident"] for p in found)
+    boxes = sorted((p["x"], p["width"]) for p in found if p["y"] == 0)
+    # cut at the middles of the gutters, so that the boxes tile the figure
+    assert all(x + w == other for (x, w), (other, _) in zip(boxes, boxes[1:], strict=False)) and boxes[1][0] == gutter + tile[1] + gutter // 2
+
+
+def test_sparse_panel_beside_a_dense_one():
+    figure = np.full((300, 620), 255, np.uint8)
+    figure[20:280, 20:290] = _texture(260, 270) // 3
+    figure[20:280, 330:600] = np.where(np.random.default_rng(2).random((260, 270)) < 0.3, 20, 250)
+    figure[20:280, 330:332] = figure[20:280, 598:600] = 20
+    found = pixels.panels(figure)
+    assert len(found) == 2 and all(p[4] for p in found)
+
+
+def test_dark_content_is_no_gutter():
+    tile, gutter = (160, 200), 26
+    figure = np.full((tile[0] + 2 * gutter, 2 * tile[1] + 3 * gutter), 255, np.uint8)
+    for c in range(2):
+        x = gutter + c * (tile[1] + gutter)
+        figure[gutter : gutter + tile[0], x : x + tile[1]] = _texture(*tile, seed=c) // 2
+    figure[gutter : gutter + tile[0], gutter + 60 : gutter + 140] = 0
+    assert len(pixels.panels(figure)) == 2
+
+
+def test_little_ink_is_not_split():
+    figure = np.full((240, 320), 5, np.uint8)
+    rng = np.random.default_rng(3)
+    for y, x in zip(rng.integers(10, 220, 30), rng.integers(10, 300, 30), strict=True):
+        figure[y : y + 8, x : x + 8] = 220
+    assert pixels.panels(figure) == [(0, 0, 320, 240, False)]
 
 
 def test_blank_figure_is_one_panel():
@@ -127,6 +183,22 @@ def test_robust_fit_finds_the_planted_map(spark, model):
     assert 1 <= robust.conditioned(found, 707.0).collect()[0]["condition"] < 10
 
 
+@pytest.mark.parametrize(("share", "least"), [(0.18, 57), (0.25, 58), (0.35, 59)])
+def test_few_inliers_are_found(share, least):
+    """Noise of a third of a pixel, and as small a share of inliers as the gates accept."""
+    rng, found = np.random.default_rng(9), 0
+    for k in range(60):
+        turn, size = rng.uniform(0, 2 * np.pi), rng.uniform(0.7, 1.4)
+        h = np.asarray([[size * np.cos(turn), -size * np.sin(turn), 60], [size * np.sin(turn), size * np.cos(turn), 30], [rng.normal(0, 1e-4), rng.normal(0, 1e-4), 1]])
+        points = _pairs(h, 200, 1 - share, 100 + k)
+        best = robust.drawn(points, k, "homography", 4.0)
+        corners = np.asarray([(50, 50), (450, 50), (50, 450), (450, 450)], float).T
+        there = robust.errors(h.reshape(1, 9), *corners, np.zeros(4), np.zeros(4))
+        place = lambda m: ((corners.T @ m[:2, :2].T + m[:2, 2]) / (corners.T @ m[2, :2] + m[2, 2])[:, None])  # noqa: B023, E731
+        found += bool(np.abs(place(best[0].reshape(3, 3)) - place(h)).max() < 5.0) and there.shape == (1, 4)
+    assert found >= least
+
+
 def test_inverse_maps_back(spark):
     row = (1, *[0.9, -0.3, 40.0, 0.25, 1.1, -12.0, 2e-4, -1e-4, 1.0])
     shape = "pair int, " + ", ".join(f"{c} double" for c in robust.MAP)

@@ -2,36 +2,40 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import kept
+
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder where there is one."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.cache()
-    path = f"{folder.rstrip('/')}/labels-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return kept(df, "labels")
+
 
+def neighbours(points: DataFrame, eps: float, axes: tuple[str, ...] = ("x", "y"), by: tuple[str, ...] = ()) -> DataFrame:
+    """id, other: pairs within ``eps`` over all axes, each way and with itself, of one group; ``points`` has id, the axes and the groups.
 
-def neighbours(points: DataFrame, eps: float) -> DataFrame:
-    """id, other: pairs within ``eps``, each way and with itself; ``points`` has id, x, y."""
+    Cells are of the first two axes, whatever their number: two points within ``eps`` are so on each of them, and the other axes are
+    compared where cells meet. So a point is listed in nine cells, not in three to the power of the axes.
+    """
     cell = lambda c: F.floor(F.col(c) / eps).cast("long")
-    a = points.select("id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    first, second = axes[:2]
+    a = points.select("id", *by, *axes, cell(first).alias("_cx"), cell(second).alias("_cy"))
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("d")
-    b = a.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), "cx", "cy", near)
-    b = b.select("other", "ox", "oy", (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"))
-    inside = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")) <= eps * eps
-    return a.join(b, ["cx", "cy"]).where(inside).select("id", "other")
+    b = a.select(F.col("id").alias("other"), *by, *[F.col(c).alias(f"_o_{c}") for c in axes], "_cx", "_cy", near)
+    b = b.select("other", *by, *[f"_o_{c}" for c in axes], (F.col("_cx") + F.col("d.dx")).alias("_cx"), (F.col("_cy") + F.col("d.dy")).alias("_cy"))
+    far = reduce(lambda s, x: s + x, [(F.col(c) - F.col(f"_o_{c}")) * (F.col(c) - F.col(f"_o_{c}")) for c in axes])
+    return a.join(b, [*by, "_cx", "_cy"]).where(far <= eps * eps).select("id", "other")
+
 
+def dbscan(points: DataFrame, eps: float, min_samples: int, axes: tuple[str, ...] = ("x", "y"), by: tuple[str, ...] = ()) -> DataFrame:
+    """id, cluster: the smallest core id of the cluster, or -1 for noise. Border points go to the smallest cluster near.
 
-def dbscan(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
-    """id, cluster: the smallest core id of the cluster, or -1 for noise. Border points go to the smallest cluster near."""
-    near = _kept(neighbours(points, eps))
+    ``by`` names columns whose groups are clustered apart; ids are unique over all.
+    """
+    near = _kept(neighbours(points, eps, axes, by))
     core = near.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("id")
     edges = _kept(near.join(core, "id").join(core.withColumnRenamed("id", "other"), "other"))
     labels = _kept(core.withColumn("cluster", F.col("id")))

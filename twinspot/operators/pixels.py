@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the panel split: tolerance, shares and sizes in pixels.
-BAND_RANGE, BAND_SHARE, GUTTER_SHARE, LEAST_GUTTER, LEAST_TILE, LEAST_INK, MOST_TILES, LEAST_OCCUPIED = 12, 0.90, 0.02, 4, 64, 0.5, 64, 0.10
+BAND_RANGE, BAND_SHARE, GUTTER_SHARE, LEAST_GUTTER, LEAST_TILE, LEAST_INK, MOST_TILES, LEAST_OCCUPIED = 12, 0.90, 0.02, 4, 64, 0.005, 64, 0.10
 
 
 def _weights(source: int, target: int) -> np.ndarray:
@@ -100,40 +100,46 @@ def foreground(image: np.ndarray) -> np.ndarray:
 
 def is_ground(band: np.ndarray, ground: float) -> bool:
     """Whether nearly all of a band is as the border is."""
-    return bool(band.size) and float((np.abs(band.astype(float) - ground) <= BAND_RANGE).mean()) >= BAND_SHARE
+    return bool(band.size) and float((np.abs(band.astype(float) - ground) < BAND_RANGE).mean()) >= BAND_SHARE
 
 
-def _gutters(profile: np.ndarray) -> list[tuple[int, int]]:
-    """Inner runs of rows (or columns) that hold hardly any ink."""
-    quiet = profile <= GUTTER_SHARE * max(float(np.median(profile)), 1e-9)
+def _gutters(profile: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Runs of ``least`` rows (or columns) that hold hardly any ink, measured by the median of those that hold some."""
+    if not (profile > 0).any():
+        return []
+    quiet = profile <= GUTTER_SHARE * float(np.median(profile[profile > 0]))
     edge = np.flatnonzero(np.diff(np.concatenate([[0], quiet.astype(np.int8), [0]])))
-    least = max(LEAST_GUTTER, int(GUTTER_SHARE * len(profile)))
-    return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= least and a > 0 and b < len(profile)]
+    return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= least]
 
 
 def panels(image: np.ndarray) -> list[tuple[int, int, int, int, bool]]:
-    """x, y, width, height, confident of a figure's panels: the tiles between its gutters.
+    """x, y, width, height, confident of a figure's panels: the tiles between the middles of its inner gutters.
 
-    A figure with little ink, or with more tiles than ``MOST_TILES``, is one panel. A figure without gutters is one panel
-    too; only a figure of one tile that has ink is sure to be one.
+    Tiles that are too small, or hold no ink by their own standard, are gaps. A figure with little ink, or with more tiles than
+    ``MOST_TILES``, is one panel, and nobody can be sure of that; a figure of one tile is one panel for sure.
     """
     h, w = image.shape
     ink = foreground(image)
     if ink.mean() < LEAST_OCCUPIED:
         return [(0, 0, w, h, False)]
     ground = float(np.median(np.concatenate([image[0], image[-1], image[:, 0], image[:, -1]])))
-    rows = [(a, b) for a, b in _gutters(ink.mean(axis=1)) if is_ground(image[a:b], ground)]
-    columns = [(a, b) for a, b in _gutters(ink.mean(axis=0)) if is_ground(image[:, a:b], ground)]
-    spans = lambda cuts, n: list(zip([0, *(b for _, b in cuts)], [*(a for a, _ in cuts), n], strict=True))
+    least = max(LEAST_GUTTER, round(min(h, w) * GUTTER_SHARE))
+    rows = [(a, b) for a, b in _gutters(ink.sum(axis=1), least) if is_ground(image[a:b], ground)]
+    columns = [(a, b) for a, b in _gutters(ink.sum(axis=0), least) if is_ground(image[:, a:b], ground)]
+    # gutters at the figure's edge are margins
+    cuts = lambda runs, n: [0, *((a + b) // 2 for a, b in runs if a > 0 and b < n), n]
+    spans = lambda at: list(zip(at[:-1], at[1:], strict=True))
     tiles = [
         (x0, y0, x1 - x0, y1 - y0)
-        for y0, y1 in spans(rows, h)
-        for x0, x1 in spans(columns, w)
-        if min(x1 - x0, y1 - y0) >= LEAST_TILE and ink[y0:y1, x0:x1].mean() >= LEAST_INK * ink.mean()
+        for y0, y1 in spans(cuts(rows, h))
+        for x0, x1 in spans(cuts(columns, w))
+        if min(x1 - x0, y1 - y0) >= LEAST_TILE and foreground(image[y0:y1, x0:x1]).mean() >= LEAST_INK
     ]
-    if not tiles or len(tiles) > MOST_TILES:
-        return [(0, 0, w, h, False)]
-    return [(*t, len(tiles) == 1) for t in tiles]
+    if len(tiles) > MOST_TILES:
+        tiles = []
+    if len(tiles) <= 1:
+        return [(0, 0, w, h, len(tiles) == 1)]
+    return [(*t, True) for t in tiles]
 
 
 def _images(rows: pd.DataFrame) -> Iterator[np.ndarray]:

@@ -18,7 +18,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE, DRAWS, KEPT = 200, 600, 8
+SAMPLE, KEPT = 200, 8
+#: Draws at most, draws of a batch, and the sureness at which drawing ends.
+DRAWS, BATCH, SURE = 10_000, 500, 0.999
 #: Points that settle a map.
 NEEDED = {"affine": 3, "homography": 4}
 MAP = [f"h{k}" for k in range(9)]
@@ -50,21 +52,55 @@ def errors(maps: np.ndarray, x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.
     return np.where(np.isfinite(far), far, np.inf)
 
 
+def _refitted(maps: np.ndarray, x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, model: str, threshold: float) -> np.ndarray:
+    """Each map fitted again to the points near it, twice, first to those within twice the threshold; it stays where these settle none."""
+    out, size = maps.copy(), 6 if model == "affine" else 8
+    for wide in (2.0, 1.0):
+        for k, inside in enumerate(errors(out, x, y, u, v) <= wide * threshold):
+            if inside.sum() <= NEEDED[model]:
+                continue
+            a, b, c, d = x[inside], y[inside], u[inside], v[inside]
+            zero, one = np.zeros_like(a), np.ones_like(a)
+            upper = np.stack([a, b, one, zero, zero, zero, -c * a, -c * b][:size], 1)
+            lower = np.stack([zero, zero, zero, a, b, one, -d * a, -d * b][:size], 1)
+            found, _, rank, _ = np.linalg.lstsq(np.concatenate([upper, lower]), np.concatenate([c, d]), rcond=None)
+            if rank == size:
+                out[k, :size], out[k, 8] = found, 1.0
+    return out
+
+
 def drawn(points: np.ndarray, seed: int, model: str, threshold: float) -> np.ndarray:
-    """The best maps of ``DRAWS`` random draws from ``points`` (n, 4), by the points within the threshold."""
+    """The best maps of random draws from ``points`` (n, 4), by the points within the threshold.
+
+    Drawing goes on until a draw without outliers was missed with a probability of 1 - ``SURE`` only, at the largest share of inliers so far, or ``DRAWS``
+    are made. The best of each batch are fitted again to the points near them.
+    """
     n, k = len(points), NEEDED[model]
     if n < k:
         return np.zeros((0, 9))
     rng = np.random.default_rng(seed)
-    # distinct places of each draw
-    at = np.argsort(rng.random((DRAWS, n)), axis=1)[:, :k]
     # numbers of about 1 keep the equations well conditioned
     unit = max(1.0, np.abs(points).max())
     x, y, u, v = (points[:, c] / unit for c in range(4))
-    maps = solved(x[at], y[at], u[at], v[at], model)
-    far = errors(maps, x, y, u, v) * unit
-    votes = (far <= threshold).sum(axis=1) - np.minimum(far, threshold).mean(axis=1) / (threshold + 1)
-    best = maps[np.argsort(-votes, kind="stable")[:KEPT]]
+
+    def votes(maps: np.ndarray) -> np.ndarray:
+        far = errors(maps, x, y, u, v) * unit
+        return (far <= threshold).sum(axis=1) - np.minimum(far, threshold).mean(axis=1) / (threshold + 1)
+
+    best, made, needed = np.zeros((0, 9)), 0, DRAWS
+    while made < min(needed, DRAWS):
+        at = rng.integers(0, n, (BATCH, k))
+        ordered = np.sort(at, axis=1)
+        at = at[(ordered[:, 1:] != ordered[:, :-1]).all(axis=1)]
+        made += BATCH
+        maps = solved(x[at], y[at], u[at], v[at], model) if len(at) else best[:0]
+        first = maps[np.argsort(-votes(maps), kind="stable")[:KEPT]]
+        pool = np.concatenate([best, first, _refitted(first, x, y, u, v, model, threshold / unit)])
+        count = votes(pool)
+        order = np.argsort(-count, kind="stable")[:KEPT]
+        best = pool[order]
+        share = max(0.0, float(count[order[0]]) / n) if len(order) else 0.0
+        needed = DRAWS if share <= 0 else np.log(1 - SURE) / np.log(max(1e-12, 1 - min(share, 1 - 1e-9) ** k))
     best[:, [2, 5]] *= unit
     best[:, [6, 7]] /= unit
     return best
