@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from twinspot.llm import language, toxicity, transport
 
@@ -48,6 +49,35 @@ def test_language_learns_and_marks_unknown(spark, none):
     assert language.languages(none).collect() == []
 
 
+def test_rows_of_all_kinds_are_scored(spark, odd, odd_rows, none):
+    """Null and clashing columns, empty and long texts, repeated rows: each row comes out, equal ones alike."""
+    found = language.languages(odd).collect()
+    assert len(found) == len(odd_rows) and {r["lang_pred"] for r in found} <= {"en", "de", "und"}
+    marks = spark.createDataFrame([(k, k % 2, "x") for k in range(1, 20)], "doc_id long, toxic int, text string")
+    scored = toxicity.toxicity(odd, marks).collect()
+    assert len(scored) == len(odd_rows) and all(0 <= r["score"] <= 1 for r in scored)
+    left = toxicity.without_toxic(odd, marks)
+    assert left.columns == odd.columns and left.count() == sum(r["predicted"] == 0 for r in scored)
+    assert toxicity.without_toxic(none, marks).collect() == []
+    assert language.languages(odd.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
+
+
+def test_held_out_rows_of_the_tables(spark):
+    """What the models say of rows that they haven't learnt from."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    got = language.languages(docs).where("held_out and lang_pred <> 'und'").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null").collect()
+    assert len(got) > 150 and np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.97
+    marked = toxicity.toxicity(docs, labels).where("held_out").join(labels.where("toxic in (0, 1)").select("doc_id", "toxic"), "doc_id").collect()
+    toxic, clean = [r["predicted"] for r in marked if r["toxic"]], [r["predicted"] for r in marked if not r["toxic"]]
+    assert len(toxic) >= 5 and np.mean(toxic) >= 0.6 and np.mean(clean) <= 0.1
+
+
+def test_an_insult_with_blanks_is_one_string():
+    assert {"^idiot$", "^stupid$"} <= set(toxicity.strings_of("you id io t and. st up id!"))
+    assert "^nitwit$" in toxicity.strings_of("N i t w i t") and toxicity.strings_of("a be") == ["^abe$"] and toxicity.strings_of("") == []
+
+
 def test_kernel_of_the_table_equals_the_kernel_itself():
     words = ["^stupid$", "^stuupid$", "^banana$", "^xyz$"]
     features = [toxicity._features(w) for w in words]

@@ -2,15 +2,18 @@
 
 The network reads a text's UTF-8 bytes in stretches of ``STRETCH``, each from zero states in both directions, and
 gives every byte a distribution over the learned languages; a text's distribution is the mean over all its bytes.
-Training is by backpropagation through time on slices of a bounded sample: up to ``SAMPLE`` rows of each language,
-the first by a hash of doc_id, of those whose crc32(doc_id) mod 4 is not 2, and ``SLICES`` slices of each.
+Training is by backpropagation through time on a bounded sample of rows: up to ``SAMPLE`` of each language, the first by a hash of
+doc_id, of those whose crc32(doc_id) mod 4 is not 2. Their texts are taken whole: a step draws a text, and then any of its slices. One task
+fits the sample.
 
-A text that is null or has no letter (Unicode category L) is ``und`` with score 0. If there is nothing to learn from, all texts are.
-Repeated rows score alike; each text is read whole, a bounded number of stretches at a time.
+A text that is null or has no letter (Unicode category L) is ``und`` with score 0. If there is nothing to learn from, as in an empty table, all
+texts are. Repeated rows score alike, ties between languages go to the first by name; each text is read whole, a bounded number of stretches at
+a time. Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,14 +25,13 @@ from pyspark.sql import functions as F
 from .common import buffers, crc_of_id, pieces_of_batches
 
 HIDDEN, STRETCH = 8, 128
-SAMPLE, SLICES, SLICE = 400, 4, 64
+SAMPLE, SLICE = 400, 64
 STEPS, BATCH, RATE, SEED = 260, 256, 0.01, 7
 #: Stretches that are read together.
 TOGETHER = 2048
 UNKNOWN = "und"
 
 
-
 @dataclass
 class Direction:
     """One gated recurrent layer: a row of inputs per byte value, and the recurrent weights; gates z, r, n."""
@@ -151,18 +153,20 @@ def gradients(net: Network, data: np.ndarray, mask: np.ndarray, label: np.ndarra
     return float(loss), [*ahead, *behind, flat_states.T @ flat, flat.sum(axis=0)]
 
 
-def fit(slices: list[tuple[str, bytes]]) -> Network | None:
-    """Adam steps over shuffled (language, bytes) slices, as many of each language."""
-    languages = sorted({lang for lang, _ in slices})
+def fit(texts: list[tuple[str, bytes]]) -> Network | None:
+    """Adam steps over random slices of (language, bytes) texts, as many of each language, and of each of its texts."""
+    languages = sorted({lang for lang, _ in texts})
     if not languages:
         return None
     net, rng = _new(languages), np.random.default_rng(SEED)
-    of = [[s for lang, s in slices if lang == x] for x in languages]
+    of = [[s for lang, s in texts if lang == x] for x in languages]
     params = [net.ahead.inputs, net.ahead.recurrent, net.behind.inputs, net.behind.recurrent, net.out, net.bias]
     first, second = ([np.zeros_like(p) for p in params] for _ in range(2))
     for step in range(1, STEPS + 1):
         label = rng.integers(0, len(languages), BATCH)
-        chosen = [of[k][rng.integers(0, len(of[k]))] for k in label]
+        drawn = [of[k][rng.integers(0, len(of[k]))] for k in label]
+        at = [SLICE * int(rng.integers(0, -(-len(s) // SLICE))) for s in drawn]
+        chosen = [s[lo : lo + SLICE] for s, lo in zip(drawn, at, strict=True)]
         data = np.zeros((BATCH, SLICE), np.uint8)
         mask = np.zeros((BATCH, SLICE), np.float32)
         for r, s in enumerate(chosen):
@@ -179,18 +183,9 @@ def fit(slices: list[tuple[str, bytes]]) -> Network | None:
     return net
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data = text.encode()
-            for k in range(SLICES):
-                at = max(0, len(data) - SLICE) * k // max(1, SLICES - 1)
-                if piece := data[at : at + SLICE]:
-                    out.append((lang, piece))
-        if out:
-            langs, pieces = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(pieces, pa.binary())], ["lang", "piece"])
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = {(lang, text.encode()) for batch in batches for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if text}
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sorted(texts)))], pa.binary())], ["model"])
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
@@ -199,8 +194,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     chosen = own.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample).select("doc_id", F.col("lang").alias("_lang"))
     # at most ``sample`` rows of each language
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), "doc_id").where("lang = _lang and text is not null")
-    pieces = rows.select("lang", "text").mapInArrow(_sliced, "lang string, piece binary").distinct().collect()
-    return fit(sorted((r["lang"], bytes(r["piece"])) for r in pieces))
+    found = rows.select("lang", "text").repartition(1).mapInArrow(_fitted, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def _predicted(net: Network | None):

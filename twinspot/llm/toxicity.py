@@ -5,18 +5,20 @@ points, the product of their weights ``DECAY ** span``; divided by both strings'
 characters put in or left out keeps most of its subsequences, so an insult with gaps stays near the insult.
 
 Labels are of documents, so a document is a bag: its sentences, each a bag of strings (words in lower case without
-outer punctuation; a run of single letters counts as one string; a string of over ``LONGEST`` code points is read
-in overlapping parts, so all of it counts). A bag's margin is the mean of its ``LARGEST`` largest. Training picks witness strings from
+outer punctuation; a run of words of one or two letters counts as one string, so that an insult with blanks in it stays whole; a string of
+over ``LONGEST`` code points is read in overlapping parts, so all of it counts). A bag's score comes from its ``LARGEST`` largest
+margins. Training picks witness strings from
 documents labelled 1, first by document frequencies and then by the machine's own margins, and takes strings of
 sentences of documents labelled 0 as the other class, those of largest margin first. Landmarks are the witnesses of
-most documents and a spread of other strings. A logistic curve on the bags' margins makes scores.
+most documents and a spread of other strings. A logistic curve on the bags' largest margins makes scores.
 
 The machine is linear in the kernels with the landmarks, and these are linear in weighted subsequences; so a string
 is scored by one table look-up per subsequence, with no loop over landmarks.
 
 Training reads up to ``SAMPLE`` labelled rows of each class, the first by a hash of doc_id, whatever the size of the
 table; with no rows of one class, all scores are the share of the other. Null and empty texts score as a document
-without strings does, the curve's lowest value. Repeated rows score alike.
+without strings does, the curve's lowest value. Repeated rows score alike, and texts of any length are read whole. Of labels of one doc_id any
+one counts. An empty table gives no rows. Further columns, whatever their names, are not read by ``toxicity`` and returned by ``without_toxic``.
 """
 
 from __future__ import annotations
@@ -38,7 +40,9 @@ from .common import crc_of_id, pieces_of_batches
 
 ORDER, SPAN, DECAY, LONGEST = 3, 8, 0.7, 24
 SAMPLE, WITNESSES, OTHERS = 1500, 96, 64
-LARGEST, LEAST = 2, -2.0
+LARGEST, LEAST = 3, -2.0
+#: A document of label 1 that is missed costs as much as so many of label 0 that are taken for one.
+MISSED = 3.0
 #: Lower bound of the log odds from which a string is a witness at once.
 SURE = 1.0
 ROUNDS, NEGATIVES, STEPS, PENALTY = 3, 12_000, 30, 1e-4
@@ -57,9 +61,9 @@ def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, DECAY ** (at[:, -1] - at[:, 0] + 1.0)
 
 
-def bag_margin(margins: list[float]) -> float:
-    """Mean of the largest margins; what is missing counts as ``LEAST``."""
-    return sum((heapq.nlargest(LARGEST, margins) + [LEAST] * LARGEST)[:LARGEST]) / LARGEST
+def largest(margins: list[float]) -> list[float]:
+    """A bag's ``LARGEST`` largest margins; what is missing counts as ``LEAST``."""
+    return (heapq.nlargest(LARGEST, margins) + [LEAST] * LARGEST)[:LARGEST]
 
 
 def strings_of(text: str) -> list[str]:
@@ -71,20 +75,23 @@ def strings_of(text: str) -> list[str]:
             word = raw if raw.isalpha() else _OUTER.sub("", raw)
             if not word.isalpha() and len(parts := _INNER.split(word)) >= ORDER and max(map(len, parts)) == 1:
                 word = "".join(parts)
-            if len(word) == 1:
+            if 0 < len(word) < ORDER:
                 run.append(word)
                 continue
-            if len(run) >= ORDER:
-                out.append(f"^{''.join(run)}$")
+            if len(run) > 1:
+                out += _strings("".join(run))
             run = run if run and raw and not word else []
-            if len(word) > LONGEST:
-                half = LONGEST // 2
-                out += [word[k : k + LONGEST] for k in range(0, len(word) - half, half)]
-            elif len(word) >= ORDER:
-                out.append(f"^{word}$")
+            out += _strings(word)
     return out
 
 
+def _strings(word: str) -> list[str]:
+    if len(word) > LONGEST:
+        half = LONGEST // 2
+        return [word[k : k + LONGEST] for k in range(0, len(word) - half, half)]
+    return [f"^{word}$"] if len(word) >= ORDER else []
+
+
 @dataclass
 class Weights:
     """Value of each triple of letters; letters are numbered from 1, 0 is any other."""
@@ -92,7 +99,7 @@ class Weights:
     letters: str
     table: np.ndarray
     bias: float
-    slope: float = 1.0
+    slopes: tuple[float, ...] = (1.0,) * LARGEST
     shift: float = 0.0
 
     def margins(self, strings: list[str]) -> np.ndarray:
@@ -105,8 +112,9 @@ class Weights:
             out[some] += self.table[triple] @ weight / np.sqrt(_self_kernels(points, at, weight))
         return out
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
+    def score(self, bags: list[list[float]]) -> np.ndarray:
+        """Of each bag's largest margins."""
+        return 1 / (1 + np.exp(-np.clip(np.asarray(bags).reshape(-1, LARGEST) @ self.slopes + self.shift, -30, 30)))
 
 
 def _batches(strings: list[str]):
@@ -182,15 +190,16 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray,
     return a[:-1], float(a[-1])
 
 
-def _curve(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve, by Newton steps with a small penalty on the slope."""
-    z, a = np.stack([margin, np.ones_like(margin)], 1), np.zeros(2)
+def _curve(margins: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """Slopes and shift of the logistic curve over a bag's largest margins, by Newton steps with a small penalty on the slopes."""
+    n = margins.shape[1]
+    z, a, penalty = np.column_stack([margins, np.ones(len(margins))]), np.zeros(n + 1), np.asarray([0.1] * n + [1e-3])
     weight = weight / weight.mean()
-    for _ in range(30):
+    for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(z @ a, -30, 30)))
-        grad = z.T @ (weight * (p - y)) + np.asarray([0.1, 0.0]) * a
-        a = a - np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag([0.1, 1e-3]), grad)
-    return float(a[0]), float(a[1])
+        grad = z.T @ (weight * (p - y)) + penalty * a
+        a = a - np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(penalty), grad)
+    return tuple(a[:-1].tolist()), float(a[-1])
 
 
 def _unlike(bags: list[list[str]]) -> list[int]:
@@ -257,8 +266,8 @@ def fit(texts: list[str], toxic: list[int], share: float) -> Weights | float:
         of = dict(zip(everything := sorted(set(used[0]) | set(used[1])), model.margins(everything), strict=True))
         witness = [s for bag in positive for s in (sure.intersection(bag) or {max(bag, key=lambda s: (of[s], s))})]
         hard = sorted(used[0], key=lambda s: (-of[s], s))[: NEGATIVES // 4]
-    largest = np.asarray([bag_margin([of[s] for s in bag]) for bag in bags])
-    model.slope, model.shift = _curve(largest, y, np.where(y == 1, share / n[1], (1 - share) / n[0]) * len(y))
+    most = np.asarray([largest([of[s] for s in bag]) for bag in bags])
+    model.slopes, model.shift = _curve(most, y, np.where(y == 1, MISSED * share / n[1], (1 - share) / n[0]) * len(y))
     return model
 
 
@@ -296,7 +305,7 @@ def _scored(model: Weights | float):
                 bags = [strings_of(t or "") for t in texts]
                 new = list({s for bag in bags for s in bag if s not in known})
                 known.update(zip(new, model.margins(new).tolist(), strict=True))
-                scores = model.score(np.asarray([bag_margin(list(map(known.__getitem__, set(bag)))) for bag in bags]))
+                scores = model.score([largest(list(map(known.__getitem__, set(bag)))) for bag in bags])
             else:
                 scores = np.full(len(texts), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
