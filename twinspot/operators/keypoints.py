@@ -63,13 +63,17 @@ def _taps(source: int, target: int) -> tuple[np.ndarray, np.ndarray]:
     return np.clip(base[:, None] + np.arange(-1, 3), 0, source - 1), weight.astype(np.float32)
 
 
-def enlarged(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Resize by cubic interpolation, into 0 to 255."""
+def cubic(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Resize by cubic interpolation; values may overshoot."""
     rows, by_row = _taps(image.shape[0], height)
     columns, by_column = _taps(image.shape[1], width)
     across = sum(by_column[:, k] * image[:, columns[:, k]].astype(np.float32) for k in range(4))
-    made = sum(by_row[:, k, None] * across[rows[:, k]] for k in range(4))
-    return np.clip(np.rint(made), 0, 255).astype(np.uint8)
+    return sum(by_row[:, k, None] * across[rows[:, k]] for k in range(4))
+
+
+def enlarged(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Resize by cubic interpolation, into 0 to 255."""
+    return np.clip(np.rint(cubic(image, width, height)), 0, 255).astype(np.uint8)
 
 
 def equalised(image: np.ndarray, clip: float = CLIP, tiles: int = TILES) -> np.ndarray:
