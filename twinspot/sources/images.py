@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import pixels
+from . import jpeg
 
 SUFFIXES = ("png", "jpg", "jpeg", "bmp", "tif", "tiff")
 #: Pixels of a file that is decoded, and of the longest side that an image keeps.
@@ -130,6 +131,8 @@ def decode(content: bytes) -> np.ndarray:
     """Grey values of a file, by what it says that it is."""
     if content[:4] in _TIFF:
         return decode_tiff(content)
+    if content[:2] == b"\xff\xd8":
+        return jpeg.decode(content)
     return decode_bmp(content) if content[:2] == b"BM" else decode_png(content)
 
 
