@@ -80,7 +80,7 @@ def _sketched(n_bands: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mul, add = _universal(ROWS * n_bands)
         turn = np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for batch in pieces_of_batches(batches, "text", 1 << 20):
+        for batch in pieces_of_batches(batches, "text", 1 << 19):
             found, at = shingles(*buffers(batch.column(2)), n=2)
             size = np.diff(at)
             full = np.flatnonzero(size)
@@ -111,7 +111,7 @@ def _linked(percent: int):
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, own = None, set()
-        for batch in pieces_of_batches(batches, "text_b", 4 << 20):
+        for batch in pieces_of_batches(batches, "text_b", 1 << 20):
             keep = np.zeros(batch.num_rows, bool)
             names = batch.schema.names
             get = lambda name: batch.column(names.index(name))  # noqa: B023, E731
@@ -137,7 +137,7 @@ def set_of(text: str) -> set[tuple[bytes, ...]]:
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's shingles, with their number."""
-    for batch in pieces_of_batches(batches, "text", 1 << 20):
+    for batch in pieces_of_batches(batches, "text", 1 << 19):
         found, at = shingles(*buffers(batch.column(batch.schema.names.index("text"))))
         size = np.diff(at)
         of = np.repeat(np.arange(len(size)), size)

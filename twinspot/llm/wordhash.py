@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 
 LONG_WORD = 64
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -83,8 +83,10 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int = 1) -
         short = lo + np.flatnonzero(size[lo:hi] <= LONG_WORD)
         if len(short):
             before = np.cumsum(size[short]) - size[short]
-            place = np.arange(before[-1] + size[short[-1]]) - np.repeat(before, size[short])
-            at = place * 256 + data[place + np.repeat(starts[short], size[short])]
+            at = np.arange(before[-1] + size[short[-1]]) - np.repeat(before, size[short])
+            byte = data[at + np.repeat(starts[short], size[short])]
+            at *= 256
+            at += byte
             for k in range(n):
                 out[k, short] = np.add.reduceat(_random(k)[at], before) ^ size[short].astype(np.uint64)
         for k in lo + np.flatnonzero(size[lo:hi] > LONG_WORD):
