@@ -13,11 +13,11 @@ from .panels import _L1
 
 
 def ranked_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagged pairs with their place by confidence within the order."""
+    """Flagged pairs with their place by confidence, from 1 on."""
     rows = fusion.scored(fusion.pair_features(_pair_rows(spark, sf_dir)), fusion.PAIR_WEIGHTS, fusion.PAIR_PRIOR)
     named = rows.withColumn("left", F.concat(F.lit("p"), "l_partkey", F.when(F.col("l_partkey") % 5 == 0, "_unsplit").otherwise(""))).withColumn("right", F.concat(F.lit("s"), "l_suppkey"))
     found = review.findings(named.withColumn("verdict", X.band(F.round("confidence", 9))), "left", "right").where("flagged")
-    return found.select(*_ROW, F.round("confidence", 5).alias("confidence"), "verdict", "trustworthy")
+    return review.placed(found.withColumn("_sure", -F.round("confidence", 9)), ["_sure", "l_orderkey", "l_linenumber"]).select(*_ROW, F.round("confidence", 5).alias("confidence"), "verdict", "trustworthy", "place")
 
 
 def pair_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,7 @@ _COLUMNS = ", ".join(_ROW)
 _COEFFICIENT = "list_sum(list_transform(range(0, 64), lambda i: v[i + 1] * 4 * cos(pi() * r * (2 * (i // 8) + 1) / 16) * cos(pi() * c * (2 * (i % 8) + 1) / 16)))"
 ORACLE_SQL = {
     "ranked_findings": f"""WITH {_PAIR}, v AS (SELECT *, {_BAND.format(c='round(confidence, 9)')} AS verdict FROM r)
-SELECT {_COLUMNS}, round(confidence, 5) AS confidence, verdict, l_partkey % 5 <> 0 AS trustworthy FROM v WHERE verdict IN ('likely_manipulated', 'suspicious')""",
+SELECT {_COLUMNS}, round(confidence, 5) AS confidence, verdict, l_partkey % 5 <> 0 AS trustworthy, row_number() OVER (ORDER BY round(confidence, 9) DESC, l_orderkey, l_linenumber) AS place FROM v WHERE verdict IN ('likely_manipulated', 'suspicious')""",
     "pair_notes": f"""WITH {_PAIR} SELECT {_COLUMNS}, concat_ws(',', CASE WHEN f_geometry_refuted > 0 AND f_embedding_similarity > 0 THEN 'contradicted_by_geometry' END,
  CASE WHEN f_geometry_abstained > 0 THEN CASE WHEN f_embedding_similarity > 0 THEN 'embedding_alone' ELSE 'absence_of_evidence' END END,
  CASE WHEN f_geometry_verified > 0 AND f_embedding_similarity <= 0 THEN 'missed_by_embedding' END) AS notes FROM r""",
