@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as X
-from ..operators import clustering, fusion, geometry
+from ..operators import clustering, fusion, geometry, review
 from ..sources import table
 
 DIAGONAL = 120.0
@@ -100,9 +100,8 @@ def keypoint_asymmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def roi_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("x"), (F.col("p_retailprice") / 40).alias("y"))
-    boxes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("bx"), (F.col("n_nationkey") % 7 * 5).alias("by"))
-    inside = (F.col("x") >= F.col("bx")) & (F.col("x") < F.col("bx") + 4) & (F.col("y") >= F.col("by")) & (F.col("y") < F.col("by") + 6)
-    return points.join(F.broadcast(boxes), inside, "left_semi").select("p_partkey", "x", F.round("y", 4).alias("y"))
+    boxes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("bx"), (F.col("n_nationkey") % 7 * 5).alias("by"), F.lit(4).alias("width"), F.lit(6).alias("height"))
+    return review.inside(points, boxes, 8.0).select("p_partkey", "x", F.round("y", 4).alias("y"))
 
 
 def _pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
