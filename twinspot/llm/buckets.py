@@ -82,11 +82,11 @@ def _cross(finer: DataFrame, condition: str) -> DataFrame:
     return pairs.distinct().select("p.*")
 
 
-def _contracted(members: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members, with new roots, of buckets still open; root, top: what became of the roots that have a link."""
-    tops = components(linked.select("root_a", "root_b")).select(F.col("node").alias("root"), F.col("root").alias("top"))
+def _contracted(members: DataFrame, linked: DataFrame, size: int, found: int) -> tuple[DataFrame, DataFrame]:
+    """The members (``size``), with new roots, of buckets still open; root, top: what became of the roots that have one of the ``found`` links."""
+    tops = components(linked.select("root_a", "root_b"), found).select(F.col("node").alias("root"), F.col("root").alias("top"))
     moved = members.join(tops, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
-    return written(_open(moved), "members"), tops
+    return written(_open(moved), "members", size), tops
 
 
 def _crowd(finer: DataFrame) -> tuple[int, int]:
@@ -108,34 +108,35 @@ def linked_roots(members: DataFrame, test: Callable[[DataFrame], DataFrame], fin
     sized = written(members.join(sizes, "band").withColumn("root", F.col("node")), "members")
     now, steps, rounds = sized.where("large").drop("large"), [], 0
     while True:
-        pairs = _star(now, rounds)
+        pairs, size = _star(now, rounds), now.count()
+        # a star has a pair for each member at most
+        most = size
         if rounds == 0:
-            pairs = pairs.union(_all_pairs(sized.where("not large"))).distinct()
-        linked = written(test(pairs), "links")
+            pairs, most = pairs.union(_all_pairs(sized.where("not large"))).distinct(), None
+        linked = written(test(pairs), "links", most)
         rounds, found = rounds + 1, linked.count()
         if found:
-            size = now.count()
-            now, tops = _contracted(now, linked)
+            now, tops = _contracted(now, linked, size, found)
             steps.append(tops)
         if not found or FEW * found < size:
             break
-    rest = written(now.select("node", "root").distinct(), "open")
+    rest = written(now.select("node", "root").distinct(), "open", size)
     if not rest.isEmpty():
         fine = written(_open(finer(rest)), "finer")
         while True:
             size, pairs = _crowd(fine)
             if pairs <= PAIRS * size:
                 break
-            linked = written(test(_star(fine, rounds)), "links")
+            linked = written(test(_star(fine, rounds)), "links", size)
             rounds, found = rounds + 1, linked.count()
             if found:
-                fine, tops = _contracted(fine, linked)
+                fine, tops = _contracted(fine, linked, size, found)
                 steps.append(tops)
             if FEW * found < size:
                 break
-        linked = written(test(_cross(fine, condition)), "links") if pairs else None
-        if linked is not None and not linked.isEmpty():
-            steps.append(components(linked.select("root_a", "root_b")).select(F.col("node").alias("root"), F.col("root").alias("top")))
+        linked = written(test(_cross(fine, condition)), "links", pairs) if pairs else None
+        if linked is not None and (found := linked.count()):
+            steps.append(components(linked.select("root_a", "root_b"), found).select(F.col("node").alias("root"), F.col("root").alias("top")))
     if not steps:
         return members.select("node", F.col("node").alias("root")).limit(0)
     # a later step's roots are those of an earlier one

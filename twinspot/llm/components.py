@@ -32,12 +32,13 @@ def _clean(edges: DataFrame) -> DataFrame:
     return edges.where("a != b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root for each node with an edge; ``edges`` has two columns of one ordered type."""
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """node, root for each node with an edge; ``edges`` has two columns of one ordered type, and ``rows`` rows at most, if that is known."""
     a, b = edges.columns
     now = _clean(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")))
     while True:
-        now = written(_clean(_small(_large(now))), "edges")
+        # a star's edges stay as many, and each of their nodes may get one
+        now = written(_clean(_small(_large(now))), "edges", None if rows is None else 3 * rows)
         # stars: each node has one edge down, and none leads to a node that has one itself
         ends = now.select("a", F.lit(1).alias("down")).union(now.select(F.col("b"), F.lit(0)).distinct())
         if ends.groupBy("a").agg(F.sum("down").alias("down"), F.count("*").alias("n")).where("down > 1 or down = 1 and n > 1").isEmpty():
