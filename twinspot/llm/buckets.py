@@ -23,7 +23,7 @@ from .common import written
 from .components import components
 
 #: Members up to which a bucket tests all pairs.
-SMALL = 16
+SMALL = 8
 #: A round of stars is followed by another one if it finds a link for so many members.
 FEW = 10
 #: Pairs for each member up to which finer buckets are tested without stars.
