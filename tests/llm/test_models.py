@@ -151,3 +151,25 @@ def test_pipeline_stages(spark, sf_dir):
         n = docs.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert packed.select("doc_id").distinct().count() == n
+
+
+def test_stages_take_rows_of_all_kinds(spark, odd, odd_rows, none, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows, clashing names and an empty table go through each stage as a stage."""
+    import corpus_pipeline
+    from twinspot.llm.common import written
+
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([(k, k % 2, None) for k in range(1, 20)], "doc_id long, toxic int, quality int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "don't stop istanbul"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for rows in (odd, none):
+        n = rows.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = written(stage(spark, rows, folder), "stage")
+            assert kept.columns == rows.columns and kept.count() <= n, name
+            if name == "line dedup":
+                assert kept.count() == n
+            if name == "near dedup" and n:
+                # each text without words stays, once for each doc_id
+                assert {5, 6, 7} <= {r["doc_id"] for r in kept.collect()}
+        packed = corpus_pipeline.STAGES[-1][1](spark, rows, folder)
+        assert packed.select("doc_id").distinct().count() == rows.select("doc_id").distinct().count()
