@@ -70,9 +70,9 @@ def prefilter_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The rows whose id is divisible by 50, and all rows."""
+    """All rows on both sides: each one is matched against every other."""
     rows = _vectors(spark, sf_dir).select(F.col("vec_id").alias("kp"), F.col("embedding").alias("desc"))
-    return rows.where("kp % 50 = 0"), rows
+    return rows, rows
 
 
 def knn2_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +155,7 @@ h2 AS (SELECT vec_id, array_to_string(list_transform(v, lambda x: CASE WHEN x >
 h AS (SELECT vec_id, bits, {_turn_sql("bits")} AS turns FROM h2)"""
 _NEAR = f"""WITH {_HASHES}, p AS (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, list_min(list_transform(b.turns, lambda t: hamming(a.bits, t))) AS hamming FROM h a JOIN h b ON a.vec_id < b.vec_id),
 k AS (SELECT vec_a, vec_b, hamming::INT AS hamming FROM p WHERE hamming <= {HAMMING})"""
-_KNN = f"""WITH r AS (SELECT vec_id AS kp, embedding AS e FROM embeddings), l AS (SELECT * FROM r WHERE kp % 50 = 0),
+_KNN = f"""WITH r AS (SELECT vec_id AS kp, embedding AS e FROM embeddings), l AS (SELECT * FROM r),
 d AS (SELECT l.kp AS src, r.kp AS dst, {_L2.format(a="l.e", b="r.e")} AS dist FROM l JOIN r ON l.kp <> r.kp),
 k AS (SELECT src, dst, dist, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM d),
 f AS (SELECT src, max(CASE WHEN rank = 1 THEN dst END) AS dst, max(CASE WHEN rank = 1 THEN dist END) AS d1, max(CASE WHEN rank = 2 THEN dist END) AS d2 FROM k WHERE rank <= 2 GROUP BY src),
