@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and how rows that take long are dealt."""
 
 from __future__ import annotations
 
@@ -23,3 +23,16 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a task, about, where each row is an image or holds the keypoints of some, and tasks at most.
+FEW, MOST_TASKS = 8, 2000
+
+
+def spread(rows: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
+    """Deal rows that are few in bytes and take long, such as images, over tasks of some rows each; ``n`` is their number, counted if not given.
+
+    Spark reckons in bytes and would leave thousands of small images to one task. It also hands a task's rows to Python in batches of many rows.
+    """
+    n = rows.count() if n is None else n
+    return rows.repartition(max(1, min(MOST_TASKS, -(-n // FEW))), *keys)

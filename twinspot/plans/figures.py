@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as X
 from ..operators import attribution, blocks, calibrate, clustering, compare, copymove, corpus, keypoints, review, scan, screening
+from ..operators.shared import spread
 from ..sources import table
 
 #: A calibrator for the query: what a fit could have given.
@@ -26,7 +27,8 @@ def _mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.array_join(F.transform(F.slice("embedding", F.col("r") * 8 + 1, F.lit(8)), lambda x: F.lpad(F.hex(value(x)), 2, "0")), "")
     lines = cells.select("mosaic", ((F.floor(F.col("tile") / 8) * 8 + F.col("r")) * 8 + F.col("tile") % 8).alias("place"), line.alias("line"))
     made = lines.groupBy("mosaic").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "").alias("all")).where("n = 512")
-    return made.select(F.format_string("m%06d", "mosaic").alias("name"), F.lit(64).alias("width"), F.lit(64).alias("height"), F.unhex("all").alias("gray"))
+    made = made.select(F.format_string("m%06d", "mosaic").alias("name"), F.lit(64).alias("width"), F.lit(64).alias("height"), F.unhex("all").alias("gray"))
+    return spread(made, "name", n=rows.count() // 64)
 
 
 def mosaic_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +56,7 @@ def mosaic_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mosaic_enhanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spread of each mosaic's values before and after its enhancement."""
     made = scan.pixels.mapped(_mosaics(spark, sf_dir), lambda image: keypoints.enhanced(image))
-    digits = F.hex("gray")
-    values = F.transform(F.sequence(F.lit(0), F.length("gray") - 1), lambda k: F.conv(F.substr(digits, k * 2 + 1, F.lit(2)), 16, 10).cast("int"))
-    return made.select("name", "width", "height", F.array_min(values).alias("least"), F.array_max(values).alias("most"))
+    return made.withColumn("span", scan.pixels.span("gray")).select("name", "width", "height", "span.least", "span.most")
 
 
 def attribution_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
