@@ -25,3 +25,18 @@ def test_span_of_grey_values(spark):
     rows = _images(spark, 30).unionByName(spark.createDataFrame([(30, 0, 0, None)], "name long, width int, height int, gray binary"))
     found = {r["name"]: (r["s"]["least"], r["s"]["most"]) for r in rows.withColumn("s", pixels.span("gray")).collect()}
     assert found == {k: (k, 200) for k in range(30)} | {30: (None, None)}
+
+
+def test_hulls_read_a_key_in_batches(spark):
+    """No group for each key and share goes to Python, and points between a line's ends don't."""
+    from twinspot.operators import review
+
+    rows = spark.range(40_000).select((F.col("id") % 100).alias("k"), (F.floor(F.col("id") / 100) % 7).alias("x"), ((F.col("id") * 7919) % 1009).cast("double").alias("y"))
+    found = review.hulls(rows, "k")
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    own = {r["k"]: (r["corners"], r["area"]) for r in found.collect()}
+    import numpy as np
+
+    for k in range(100):
+        corners = review.hull(np.asarray([(r["x"], r["y"]) for r in rows.where(F.col("k") == k).collect()], float)) if k < 3 else None
+        assert k in own and (corners is None or own[k][0] == len(corners))
