@@ -40,3 +40,20 @@ def test_hulls_read_a_key_in_batches(spark):
     for k in range(100):
         corners = review.hull(np.asarray([(r["x"], r["y"]) for r in rows.where(F.col("k") == k).collect()], float)) if k < 3 else None
         assert k in own and (corners is None or own[k][0] == len(corners))
+
+
+def test_robust_maps_read_keys_in_batches(spark):
+    """No group for each key goes to Python, and errors are those of the definition."""
+    import numpy as np
+
+    from twinspot.operators import robust
+
+    rows = spark.range(900).select((F.col("id") % 9).alias("k"), (F.col("id") * 37 % 101).cast("double").alias("x"), (F.col("id") * 53 % 97).cast("double").alias("y"))
+    found = robust.hypotheses(rows.withColumns({"u": F.col("x") * 2 + 3, "v": F.col("y") - F.col("x")}), "k", "affine", 1.0)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    best = {r["k"]: [r[f"h{c}"] for c in range(6)] for r in found.where("place = 0").collect()}
+    assert all(np.allclose(best[k], [2, 0, 3, -1, 1, 0], atol=1e-6) for k in range(9))
+    maps, x, y = np.random.default_rng(2).normal(size=(70, 9)), np.arange(5.0), np.arange(5.0)[::-1]
+    far = [[np.hypot((m[0] * a + m[1] * b + m[2]) / (w := m[6] * a + m[7] * b + m[8]) - 1, (m[3] * a + m[4] * b + m[5]) / w - 2) for a, b in zip(x, y, strict=True)] for m in maps]
+    assert np.allclose(robust.errors(maps, x, y, np.ones(5), np.full(5, 2.0)), far)
+    assert np.isinf(robust.errors(np.zeros((1, 9)), x, y, x, y)).all()

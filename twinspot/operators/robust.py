@@ -12,15 +12,19 @@ too few points, or with points on a line only, have no row. Points with a null c
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE, KEPT = 200, 8
 #: Draws at most, draws of a batch, and the sureness at which drawing ends.
 DRAWS, BATCH, SURE = 10_000, 500, 0.999
+#: Maps that are tried at once.
+SOME = 32
 #: Points that settle a map.
 NEEDED = {"affine": 3, "homography": 4}
 MAP = [f"h{k}" for k in range(9)]
@@ -44,26 +48,33 @@ def solved(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, model: st
 
 def errors(maps: np.ndarray, x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """(maps, points): distances of the mapped points from where they belong; infinite where a map has none."""
-    w = maps[:, 6:7] * x + maps[:, 7:8] * y + maps[:, 8:9]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        du = (maps[:, 0:1] * x + maps[:, 1:2] * y + maps[:, 2:3]) / w - u
-        dv = (maps[:, 3:4] * x + maps[:, 4:5] * y + maps[:, 5:6]) / w - v
-        far = np.hypot(du, dv)
-    return np.where(np.isfinite(far), far, np.inf)
+    at, out = np.stack([x, y, np.ones_like(x)]), np.empty((len(maps), len(x)))
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        # some maps at a time: their points stay in a core's cache
+        for first in range(0, len(maps), SOME):
+            du, dv, w = (maps[first : first + SOME].reshape(-1, 3) @ at).reshape(-1, 3, len(x)).transpose(1, 0, 2)
+            du /= w
+            dv /= w
+            du -= u
+            dv -= v
+            du *= du
+            dv *= dv
+            np.sqrt(np.add(du, dv, out=du), out=out[first : first + SOME])
+    out[np.isnan(out)] = np.inf
+    return out
 
 
 def _refitted(maps: np.ndarray, x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, model: str, threshold: float) -> np.ndarray:
     """Each map fitted again to the points near it, twice, first to those within twice the threshold; it stays where these settle none."""
     out, size = maps.copy(), 6 if model == "affine" else 8
+    zero, one = np.zeros_like(x), np.ones_like(x)
+    upper = np.stack([x, y, one, zero, zero, zero, -u * x, -u * y][:size], 1)
+    lower = np.stack([zero, zero, zero, x, y, one, -v * x, -v * y][:size], 1)
     for wide in (2.0, 1.0):
         for k, inside in enumerate(errors(out, x, y, u, v) <= wide * threshold):
-            if inside.sum() <= NEEDED[model]:
+            if np.count_nonzero(inside) <= NEEDED[model]:
                 continue
-            a, b, c, d = x[inside], y[inside], u[inside], v[inside]
-            zero, one = np.zeros_like(a), np.ones_like(a)
-            upper = np.stack([a, b, one, zero, zero, zero, -c * a, -c * b][:size], 1)
-            lower = np.stack([zero, zero, zero, a, b, one, -d * a, -d * b][:size], 1)
-            found, _, rank, _ = np.linalg.lstsq(np.concatenate([upper, lower]), np.concatenate([c, d]), rcond=None)
+            found, _, rank, _ = np.linalg.lstsq(np.concatenate([upper[inside], lower[inside]]), np.concatenate([u[inside], v[inside]]), rcond=None)
             if rank == size:
                 out[k, :size], out[k, 8] = found, 1.0
     return out
@@ -84,8 +95,10 @@ def drawn(points: np.ndarray, seed: int, model: str, threshold: float) -> np.nda
     x, y, u, v = (points[:, c] / unit for c in range(4))
 
     def votes(maps: np.ndarray) -> np.ndarray:
-        far = errors(maps, x, y, u, v) * unit
-        return (far <= threshold).sum(axis=1) - np.minimum(far, threshold).mean(axis=1) / (threshold + 1)
+        far = errors(maps, x, y, u, v)
+        far *= unit
+        near = np.count_nonzero(far <= threshold, axis=1)
+        return near - np.minimum(far, threshold, out=far).mean(axis=1) / (threshold + 1)
 
     best, made, needed = np.zeros((0, 9)), 0, DRAWS
     while made < min(needed, DRAWS):
@@ -132,16 +145,20 @@ def hypotheses(points: DataFrame, key: str, model: str, threshold: float) -> Dat
     first = Window.partitionBy(key).orderBy(F.xxhash64("x", "y", "u", "v"), "x", "y", "u", "v")
     sample = points.select(key, "x", "y", "u", "v").withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= SAMPLE)
 
-    def maps(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_place")
-        seed = zlib.crc32(str(rows[key].iloc[0]).encode())
-        found = drawn(rows[["x", "y", "u", "v"]].to_numpy(float), seed, model, threshold)
-        out = pd.DataFrame(found, columns=MAP)
-        out.insert(0, "place", np.arange(len(out)))
-        out.insert(0, key, pd.Series([rows[key].iloc[0]] * len(out), dtype=object))
-        return out
+    listed = sample.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_place", "x", "y", "u", "v"))).alias("points"))
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lists = batch.column(0), batch.column(1)
+            at = lists.offsets.to_numpy()
+            points = np.column_stack([lists.values.field(c).to_numpy(zero_copy_only=False) for c in range(1, 5)])
+            found = [drawn(points[i:j], zlib.crc32(str(k.as_py()).encode()), model, threshold) for k, i, j in zip(keys, at[:-1], at[1:], strict=True)]
+            sizes = [len(f) for f in found]
+            flat = np.concatenate([*found, np.zeros((0, 9))])
+            place = np.concatenate([*map(np.arange, sizes), np.zeros(0, int)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.repeat(np.arange(len(found)), sizes))), pa.array(place), *map(pa.array, flat.T)], names=[key, "place", *MAP])
 
-    return sample.groupBy(key).applyInPandas(maps, f"{key} {kind}, place int, {', '.join(f'{c} double' for c in MAP)}")
+    return listed.mapInArrow(maps, f"`{key}` {kind}, place int, {', '.join(f'{c} double' for c in MAP)}")
 
 
 def _normal(inliers: DataFrame, key: str, model: str, unit: float) -> DataFrame:
