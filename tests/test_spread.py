@@ -57,3 +57,23 @@ def test_robust_maps_read_keys_in_batches(spark):
     far = [[np.hypot((m[0] * a + m[1] * b + m[2]) / (w := m[6] * a + m[7] * b + m[8]) - 1, (m[3] * a + m[4] * b + m[5]) / w - 2) for a, b in zip(x, y, strict=True)] for m in maps]
     assert np.allclose(robust.errors(maps, x, y, np.ones(5), np.full(5, 2.0)), far)
     assert np.isinf(robust.errors(np.zeros((1, 9)), x, y, x, y)).all()
+
+
+def test_dense_points_keep_no_pairs(spark, monkeypatch):
+    """What clustering keeps doesn't grow with the pairs of a dense place."""
+    import random
+
+    from twinspot.operators import clustering
+
+    draw, sizes = random.Random(5), []
+    keep = clustering._kept
+
+    def counted(df):
+        out = keep(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(clustering, "_kept", counted)
+    rows = [(k, draw.gauss(k % 3 * 4, 0.1), draw.gauss(0, 0.1)) for k in range(600)] + [(600, 4.0, 1.0), (601, 20.0, 20.0)]
+    found = {r["id"]: r["cluster"] for r in clustering.dbscan(spark.createDataFrame(rows, "id long, x double, y double"), 0.9, 4).collect()}
+    assert [found[k] for k in range(600)] == [k % 3 for k in range(600)] and found[601] == -1 and max(sizes) <= len(rows)
