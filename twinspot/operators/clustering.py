@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import kept
@@ -41,13 +41,17 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, axes: tuple[str, ...
     ``by`` names columns whose groups are clustered apart; ids are unique over all.
     """
     # pairs within eps grow with the square of a dense place's points, so they are counted and made distinct where they meet, and never kept
-    near = neighbours(points, eps, axes, by).groupBy("id").agg(F.count("*").alias("n"))
-    marked = _kept(points.select("id", *by, *axes).join(near, "id", "left").withColumn("core", F.coalesce("n", F.lit(0)) >= min_samples).drop("n"))
-    # core points of a cell whose diagonal is shorter than eps are one node, named by the smallest
     side = eps / len(axes) ** 0.5 * (1 - 1e-9)
     cell = [F.floor(F.col(c) / side).cast("long").alias(f"_cell{k}") for k, c in enumerate(axes)]
-    core = marked.where("core").select("id", *by, *axes, *cell)
     at = [*by, *[f"_cell{k}" for k in range(len(axes))]]
+    # all points of a cell whose diagonal is shorter than eps are neighbours: enough of them are core without a count
+    own = Window.partitionBy(*at)
+    whole = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in (*by, *axes)])
+    seen = _kept(points.select("id", *by, *axes, *cell).withColumn("full", whole & (F.count("*").over(own) >= min_samples)).drop(*at[len(by) :]))
+    near = neighbours(seen.where("not full"), eps, axes, by, seen).groupBy("id").agg(F.count("*").alias("n"))
+    marked = _kept(seen.join(near, "id", "left").withColumn("core", F.col("full") | (F.coalesce("n", F.lit(0)) >= min_samples)).drop("n", "full"))
+    # core points of such a cell are one node, named by the smallest
+    core = marked.where("core").select("id", *by, *axes, *cell)
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in at]
     first = core.groupBy(*at).agg(F.min("id").alias("node"))
     core = _kept(core.alias("l").join(first.alias("r"), same).select(*[F.col(f"l.{c}") for c in ("id", *by, *axes)], "node"))
