@@ -105,3 +105,38 @@ def test_empty_tables(none):
     assert token_counts.count_tokens(none, WORD).collect() == []
     assert token_files.token_files(none, WORD).collect() == []
     assert packing.pack(none, BYTE).collect() == []
+
+
+def _lowest_cost_with_room(lengths, room):
+    """The rule of ``assign`` by looking at every sequence for every rest; None where a rest is to be cut."""
+    n = -(-sum(lengths) // room)
+    left, spent, out = [room] * n, [0.0] * n, [None] * len(lengths)
+    for k in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
+        fits = [s for s in range(n) if left[s] >= lengths[k]]
+        if fits:
+            s = min(fits, key=lambda s: (spent[s], s))
+            out[k] = [(s, lengths[k])]
+            left[s] -= lengths[k]
+            spent[s] += packing.cost(lengths[k])
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=120))
+def test_assignment_takes_the_lowest_cost_with_room(lengths):
+    for got, expected in zip(packing.assign(lengths, 64), _lowest_cost_with_room(lengths, 64), strict=True):
+        assert expected is None or got == expected
+
+
+def test_assignment_asks_full_sequences_once(monkeypatch):
+    """Sequences without room are not looked at again for each rest."""
+    lengths = np.random.default_rng(3).integers(1, 1400, 4000).tolist()
+    pops, pop = [0], packing.heapq.heappop
+
+    def counted(heap):
+        pops[0] += 1
+        return pop(heap)
+
+    monkeypatch.setattr(packing.heapq, "heappop", counted)
+    packing.assign(lengths, 2048)
+    assert pops[0] < 4 * len(lengths)

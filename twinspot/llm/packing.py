@@ -53,10 +53,18 @@ def assign(lengths: list[int], room: int) -> list[list[tuple[int, int]]]:
         left[s] -= tokens
         spent[s] += cost(tokens)
 
+    # sequences without room for this length, by their room: back in the heap as soon as lengths have come down to it
+    waiting: list[list[int]] = [[] for _ in range(room + 1)]
+    before = room + 1
     for k in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
-        aside = []
+        for free in range(lengths[k], before):
+            for s in waiting[free]:
+                heapq.heappush(heap, (spent[s], s))
+            waiting[free].clear()
+        before = lengths[k]
         while heap and left[heap[0][1]] < lengths[k]:
-            aside.append(heapq.heappop(heap))
+            _, s = heapq.heappop(heap)
+            waiting[left[s]].append(s)
         if heap:
             _, s = heapq.heappop(heap)
             put(k, s, lengths[k])
@@ -64,9 +72,6 @@ def assign(lengths: list[int], room: int) -> list[list[tuple[int, int]]]:
                 heapq.heappush(heap, (spent[s], s))
         else:
             cut.append(k)
-        # what has no room for this one may have for a shorter one
-        for x in aside:
-            heapq.heappush(heap, x)
     roomy = [(-left[s], s) for s in range(n) if left[s]]
     heapq.heapify(roomy)
     for k in cut:
