@@ -231,6 +231,18 @@ def test_bucket_of_loosely_linked_texts(spark):
     assert {int(bytes(r["node"])) for r in got} == set(range(400)) and len({bytes(r["root"]) for r in got}) == 1
 
 
+def test_pairs_of_most_shared_buckets_come_first(spark):
+    """Slices of owners list each pair of two roots; of a node's pairs, the one of most shared buckets is asked first."""
+    # node k is in buckets k to k + 3: nodes of neighbouring numbers share most
+    rows = [(band, bytes([k]), bytes([k]), True, True) for k in range(30) for band in range(k, k + 4)]
+    fine = spark.createDataFrame(rows, "band long, node binary, root binary, owner boolean, seeker boolean")
+    ends = [0, *buckets.SLICES]
+    got = [r for lo, hi in zip(ends, ends[1:], strict=False) for r in buckets._cross(fine, "x.node < y.node", lo, hi).collect()]
+    assert {(r["a"][0], r["b"][0]): r["n"] for r in got} == {(a, b): 4 - (b - a) for a in range(30) for b in range(a + 1, min(30, a + 4))}
+    best = buckets._best(spark.createDataFrame(got, buckets.LINK + ", n long")).collect()
+    assert all(r["b"][0] - r["a"][0] == 1 for r in best) and {x[0] for r in best for x in (r["a"], r["b"])} == set(range(30))
+
+
 def test_sides_of_pairs_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(buckets, "SHARE", 7)
     values = spark.createDataFrame([(bytes([k]), f"t{k}") for k in range(100)], "node binary, text string")

@@ -7,14 +7,17 @@ to roots at once, so that a round works on the buckets that still hold two roots
 Large groups become one component in this way. Rounds end when stars find few links. Nodes that then still share a
 large bucket with another root are searched by finer keys. The caller deals each of them
 under its rarest items, so that two linked nodes meet in some finer bucket, whatever the
-size of the first one. Where finer buckets have many pairs, they too are contracted by stars; then all their pairs of
-two roots are tested. Nothing caps the sizes of buckets or the number of pairs, and how many rounds of stars there are
+size of the first one. Where finer buckets have many pairs, they too are contracted by stars; then their pairs of
+two roots are listed in growing slices of the owners. Of many pairs in a slice, each node's with the most buckets in
+common are tested first, and what they link is contracted before the others of two roots are tested and before the next
+slice is listed. Nothing caps the sizes of buckets or the number of pairs, and how many rounds of stars there are
 doesn't change the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,8 @@ SMALL = 8
 FEW = 10
 #: Pairs for each member up to which finer buckets are tested without stars.
 PAIRS = 4
+#: Where the slices of owners end, in sixteenths.
+SLICES = (1, 4, 16)
 #: Members of a finer bucket that one task lists as candidates of the others.
 BLOCK = 500
 #: Pairs of one node that one task tests.
@@ -70,23 +75,69 @@ def _all_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("root_a"), F.col("y.root").alias("root_b")).distinct()
 
 
-def _cross(finer: DataFrame, condition: str) -> DataFrame:
-    """a, b and their roots: pairs of a finer bucket's owners and seekers of two roots. A bucket's owners are dealt into blocks."""
-    owners, seekers = finer.where("owner"), finer.where("seeker")
+def _cross(finer: DataFrame, condition: str, lo: int, hi: int) -> DataFrame:
+    """a, b, their roots, n: pairs of a finer bucket's owners and seekers of two roots, n of the buckets that they share.
+
+    Owners are those of the slice from ``lo`` to ``hi``; a bucket's are dealt into blocks.
+    """
+    slot = F.pmod(F.xxhash64("node", F.lit("slice")), F.lit(SLICES[-1]))
+    owners, seekers = finer.where("owner").where((slot >= lo) & (slot < hi)), finer.where("seeker")
     sizes = owners.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = owners.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     spread = seekers.join(sizes, "band").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     on = (F.col("x.band") == F.col("y.band")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.root") != F.col("y.root")) & F.expr(condition)
     pair = lambda a, b: F.struct(F.col(f"{a}.node").alias("a"), F.col(f"{b}.node").alias("b"), F.col(f"{a}.root").alias("root_a"), F.col(f"{b}.root").alias("root_b"))
     pairs = dealt.alias("x").join(spread.alias("y"), on).select(F.when(F.col("x.node") < F.col("y.node"), pair("x", "y")).otherwise(pair("y", "x")).alias("p"))
-    return pairs.distinct().select("p.*")
+    return pairs.groupBy("p").agg(F.count("*").alias("n")).select("p.*", "n")
+
+
+def _best(listed: DataFrame) -> DataFrame:
+    """For each node, its pair of most shared buckets."""
+    order = F.struct((-F.col("n")).alias("n"), F.xxhash64("a", "b").alias("turn"), "a", "b", "root_a", "root_b")
+    sides = listed.select(F.explode(F.array("a", "b")).alias("node"), order.alias("p"))
+    return sides.groupBy("node").agg(F.min("p").alias("p")).select("p.a", "p.b", "p.root_a", "p.root_b").distinct()
+
+
+def _tops(linked: DataFrame, found: int) -> DataFrame:
+    """root, top: what becomes of the roots that have one of the ``found`` links."""
+    return components(linked.select("root_a", "root_b"), found).select(F.col("node").alias("root"), F.col("root").alias("top"))
+
+
+def _moved(rows: DataFrame, tops: DataFrame, root: str = "root") -> DataFrame:
+    named = tops.select(F.col("root").alias(root), "top")
+    return rows.join(named, root, "left").withColumn(root, F.coalesce("top", root)).drop("top")
+
+
+def _searched(fine: DataFrame, condition: str, test: Callable[[DataFrame], DataFrame], size: int) -> list[DataFrame]:
+    """The steps (root, top) by which all links between the roots of finer buckets, of ``size`` members, are contracted."""
+    steps = []
+    for lo, hi in zip((0, *SLICES), SLICES, strict=False):
+        listed, here, pays = written(_cross(fine, condition, lo, hi), "pairs"), [], True
+        while (left := listed.count()) > 0:
+            some = pays and left > size // FEW
+            asked = written(_best(listed), "asked", left) if some else listed.drop("n")
+            linked = written(test(asked), "links", left)
+            if found := linked.count():
+                here.append(_tops(linked, found))
+            if not some:
+                break
+            listed = listed.join(asked.select("a", "b"), ["a", "b"], "left_anti")
+            if found:
+                listed = _moved(_moved(listed, here[-1], "root_a"), here[-1], "root_b").where("root_a != root_b")
+            listed = written(listed.select("a", "b", "root_a", "root_b", "n"), "pairs", left)
+            pays = FEW * found >= asked.count()
+        steps += here
+        if hi < SLICES[-1] and here:
+            for tops in here:
+                fine = _moved(fine, tops)
+            fine = written(_open(fine), "members", size)
+    return steps
 
 
 def _contracted(members: DataFrame, linked: DataFrame, size: int, found: int) -> tuple[DataFrame, DataFrame]:
     """The members (``size``), with new roots, of buckets still open; root, top: what became of the roots that have one of the ``found`` links."""
-    tops = components(linked.select("root_a", "root_b"), found).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    moved = members.join(tops, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
-    return written(_open(moved), "members", size), tops
+    tops = _tops(linked, found)
+    return written(_open(_moved(members, tops)), "members", size), tops
 
 
 def _crowd(finer: DataFrame) -> tuple[int, int]:
@@ -134,18 +185,15 @@ def linked_roots(members: DataFrame, test: Callable[[DataFrame], DataFrame], fin
                 steps.append(tops)
             if FEW * found < size:
                 break
-        linked = written(test(_cross(fine, condition)), "links", pairs) if pairs else None
-        if linked is not None and (found := linked.count()):
-            steps.append(components(linked.select("root_a", "root_b"), found).select(F.col("node").alias("root"), F.col("root").alias("top")))
+        if pairs:
+            steps += _searched(fine, condition, test, size)
     if not steps:
         return members.select("node", F.col("node").alias("root")).limit(0)
-    # a later step's roots are those of an earlier one
-    out = steps[0].select(F.col("root").alias("node"), F.col("top").alias("root"))
-    for tops in steps[1:]:
-        later = tops.select(F.col("root").alias("was"), "top")
-        moved = out.join(later, out["root"] == later["was"], "left").select("node", F.coalesce("top", "root").alias("root"))
-        new = later.select(F.col("was").alias("node"), F.col("top").alias("root")).join(out, "node", "left_anti")
-        out = moved.union(new)
+    # a later step's roots are those of an earlier one, or nodes that had no link before
+    out = reduce(DataFrame.union, [tops.select(F.col("root").alias("node")) for tops in steps]).distinct().withColumn("root", F.col("node"))
+    for tops in steps:
+        out = _moved(out, tops)
+    out = out.select("node", "root")
     return written(out, "roots")
 
 
