@@ -243,6 +243,29 @@ def test_pairs_of_most_shared_buckets_come_first(spark):
     assert all(r["b"][0] - r["a"][0] == 1 for r in best) and {x[0] for r in best for x in (r["a"], r["b"])} == set(range(30))
 
 
+def test_members_move_once_for_all_links_of_a_slice(spark, monkeypatch):
+    """A chain of 60 nodes in one bucket, of which no star finds much: each slice has several tests, and its members move once, not once for each."""
+    monkeypatch.setattr(buckets, "PAIRS", 0)
+    moves, move = [], buckets._moved
+    monkeypatch.setattr(buckets, "_moved", lambda rows, *a: moves.append("owner" in rows.columns) or move(rows, *a))
+    members = spark.createDataFrame([(1, bytes([k])) for k in range(60)], "band long, node binary")
+    finer = lambda roots: roots.select(F.lit(1).cast("long").alias("band"), "node", "root", F.lit(True).alias("owner"), F.lit(True).alias("seeker"))
+    test = lambda pairs: pairs.where("abs(int(conv(hex(a), 16, 10)) - int(conv(hex(b), 16, 10))) = 1").select("a", "b", "root_a", "root_b")
+    got = {(r["node"][0], r["root"][0]) for r in buckets.linked_roots(members, test, finer, "x.node < y.node").collect()}
+    assert got == {(k, 0) for k in range(60)}
+    # one of them after the star
+    assert sum(moves) <= len(buckets.SLICES)
+
+
+def test_few_links_are_contracted_without_shuffles(spark, monkeypatch):
+    plans, write = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *a))
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 150)] + [(7, 7), (3, 4)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), len(edges)).collect()}
+    assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 150)}
+    assert plans and not any("hashpartitioning" in p for p in plans)
+
+
 def test_sides_of_pairs_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(buckets, "SHARE", 7)
     values = spark.createDataFrame([(bytes([k]), f"t{k}") for k in range(100)], "node binary, text string")

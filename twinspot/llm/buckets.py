@@ -10,7 +10,8 @@ under its rarest items, so that two linked nodes meet in some finer bucket, what
 size of the first one. Where finer buckets have many pairs, they too are contracted by stars; then their pairs of
 two roots are listed in growing slices of the owners. Of many pairs in a slice, each node's with the most buckets in
 common are tested first, and what they link is contracted before the others of two roots are tested and before the next
-slice is listed. Nothing caps the sizes of buckets or the number of pairs, and how many rounds of stars there are
+slice is listed. Where a slice has few pairs, all other owners make one slice. What several tests link is made one
+map before the members are moved by it. Nothing caps the sizes of buckets or the number of pairs, and how many rounds of stars there are
 doesn't change the result.
 """
 
@@ -22,14 +23,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import together, written
 from .components import components
 
 #: Members up to which a bucket tests all pairs.
 SMALL = 8
 #: A round of stars is followed by another one if it finds a link for so many members.
 FEW = 10
-#: Pairs for each member up to which finer buckets are tested without stars.
+#: Pairs for each member up to which finer buckets are tested without stars, and a slice's pairs all at once.
 PAIRS = 4
 #: Where the slices of owners end, in sixteenths.
 SLICES = (1, 4, 16)
@@ -37,6 +38,8 @@ SLICES = (1, 4, 16)
 BLOCK = 500
 #: Pairs of one node that one task tests.
 SHARE = 2000
+#: Links up to which the map of their roots is sent to all tasks.
+SENT = 5_000
 #: What a test returns of each linked pair.
 LINK = "a binary, b binary, root_a binary, root_b binary"
 
@@ -100,44 +103,64 @@ def _best(listed: DataFrame) -> DataFrame:
 
 def _tops(linked: DataFrame, found: int) -> DataFrame:
     """root, top: what becomes of the roots that have one of the ``found`` links."""
-    return components(linked.select("root_a", "root_b"), found).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    tops = components(linked.select("root_a", "root_b"), found).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return F.broadcast(tops) if found <= SENT else tops
+
+
+def _chained(steps: list[tuple[DataFrame, int]]) -> DataFrame:
+    """root, top: where all steps lead together, each a map of roots with its number of links. A later step's roots are tops of an earlier one, or had no link before."""
+    if len(steps) == 1:
+        return steps[0][0]
+    links = sum(found for _, found in steps)
+    out = together(reduce(DataFrame.union, [tops.select("root") for tops, _ in steps]), 2 * links).distinct().withColumn("top", F.col("root"))
+    for tops, _ in steps:
+        out = _moved(out, tops, "top")
+    out = written(out.select("root", "top"), "tops", 2 * links)
+    return F.broadcast(out) if links <= SENT else out
 
 
 def _moved(rows: DataFrame, tops: DataFrame, root: str = "root") -> DataFrame:
-    named = tops.select(F.col("root").alias(root), "top")
-    return rows.join(named, root, "left").withColumn(root, F.coalesce("top", root)).drop("top")
+    named = tops.select(F.col("root").alias(root), F.col("top").alias("_top"))
+    return rows.join(named, root, "left").withColumn(root, F.coalesce("_top", root)).drop("_top")
 
 
-def _searched(fine: DataFrame, condition: str, test: Callable[[DataFrame], DataFrame], size: int) -> list[DataFrame]:
+def _searched(fine: DataFrame, condition: str, test: Callable[[DataFrame], DataFrame], size: int) -> list[tuple[DataFrame, int]]:
     """The steps (root, top) by which all links between the roots of finer buckets, of ``size`` members, are contracted."""
-    steps = []
-    for lo, hi in zip((0, *SLICES), SLICES, strict=False):
-        listed, here, pays = written(_cross(fine, condition, lo, hi), "pairs"), [], True
-        while (left := listed.count()) > 0:
-            some = pays and left > size // FEW
+    steps, lo, ends = [], 0, list(SLICES)
+    while ends:
+        hi = ends.pop(0)
+        listed, here, pays = written(_cross(fine, condition, lo, hi), "pairs", PAIRS * size), [], True
+        left = listed.count()
+        if left * SLICES[-1] <= 2 * PAIRS * size * (hi - lo):
+            ends = ends[-1:]
+        while left:
+            some = pays and left > PAIRS * size
             asked = written(_best(listed), "asked", left) if some else listed.drop("n")
             linked = written(test(asked), "links", left)
             if found := linked.count():
-                here.append(_tops(linked, found))
+                here.append((_tops(linked, found), found))
             if not some:
                 break
             listed = listed.join(asked.select("a", "b"), ["a", "b"], "left_anti")
             if found:
-                listed = _moved(_moved(listed, here[-1], "root_a"), here[-1], "root_b").where("root_a != root_b")
+                listed = _moved(_moved(listed, here[-1][0], "root_a"), here[-1][0], "root_b").where("root_a != root_b")
             listed = written(listed.select("a", "b", "root_a", "root_b", "n"), "pairs", left)
-            pays = FEW * found >= asked.count()
-        steps += here
-        if hi < SLICES[-1] and here:
-            for tops in here:
-                fine = _moved(fine, tops)
-            fine = written(_open(fine), "members", size)
+            pays, left = FEW * found >= asked.count(), listed.count()
+        if ends and here:
+            here = [(_chained(here), sum(found for _, found in here))]
+            fine = written(_moved(fine, here[0][0]), "members", size)
+        steps, lo = steps + here, hi
     return steps
 
 
 def _contracted(members: DataFrame, linked: DataFrame, size: int, found: int) -> tuple[DataFrame, DataFrame]:
-    """The members (``size``), with new roots, of buckets still open; root, top: what became of the roots that have one of the ``found`` links."""
+    """The members (``size``), with new roots; root, top: what became of the roots that have one of the ``found`` links.
+
+    Where links are many, only buckets still open are kept. The others' members find nothing more, but do no harm.
+    """
     tops = _tops(linked, found)
-    return written(_open(_moved(members, tops)), "members", size), tops
+    moved = _moved(members, tops)
+    return written(moved if FEW * found < size else _open(moved), "members", size), tops
 
 
 def _crowd(finer: DataFrame) -> tuple[int, int]:
@@ -168,7 +191,7 @@ def linked_roots(members: DataFrame, test: Callable[[DataFrame], DataFrame], fin
         rounds, found = rounds + 1, linked.count()
         if found:
             now, tops = _contracted(now, linked, size, found)
-            steps.append(tops)
+            steps.append((tops, found))
         if not found or FEW * found < size:
             break
     rest = written(now.select("node", "root").distinct(), "open", size)
@@ -182,19 +205,14 @@ def linked_roots(members: DataFrame, test: Callable[[DataFrame], DataFrame], fin
             rounds, found = rounds + 1, linked.count()
             if found:
                 fine, tops = _contracted(fine, linked, size, found)
-                steps.append(tops)
+                steps.append((tops, found))
             if FEW * found < size:
                 break
         if pairs:
             steps += _searched(fine, condition, test, size)
     if not steps:
         return members.select("node", F.col("node").alias("root")).limit(0)
-    # a later step's roots are those of an earlier one, or nodes that had no link before
-    out = reduce(DataFrame.union, [tops.select(F.col("root").alias("node")) for tops in steps]).distinct().withColumn("root", F.col("node"))
-    for tops in steps:
-        out = _moved(out, tops)
-    out = out.select("node", "root")
-    return written(out, "roots")
+    return _chained(steps).select(F.col("root").alias("node"), F.col("top").alias("root"))
 
 
 def paired(pairs: DataFrame, values: DataFrame) -> DataFrame:

@@ -54,6 +54,11 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def together(df: DataFrame, rows: int | None) -> DataFrame:
+    """Few rows, where ``rows`` says that there are ``FILE_ROWS`` at most, in one partition: no grouping of them needs a shuffle."""
+    return df.coalesce(1) if rows is not None and rows <= FILE_ROWS else df
+
+
 def text_key(text: str = "text") -> Column:
     """Tells rows of one doc_id but different texts apart; equal (doc_id, text) rows share all results."""
     return F.xxhash64(F.col(text))
