@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .buckets import LINK, crowded, linked_roots, paired, short_of
-from .common import pieces_of_batches, text_key, written
+from .common import lean, pieces_of_batches, text_key, written
 
 EDITS, PER = 2, 12
 #: A line of ``e * PER`` code points has more runs than e edits change: more than e * GRAM.
@@ -289,9 +289,9 @@ def _rarest(texts: DataFrame):
         lines = written(texts.join(roots, "node").select("node", "root", "line"), "open-lines")
         uses = np.zeros(CELLS, np.int32)
         # as many numbers as there are cells, for any number of lines
-        for r in lines.select("line").mapInArrow(_cells, "cell int, uses bigint").groupBy("cell").agg(F.least(F.sum("uses"), F.lit(2**31 - 1)).cast("int").alias("uses")).collect():
+        for r in lines.select("line").mapInArrow(lean(_cells), "cell int, uses bigint").groupBy("cell").agg(F.least(F.sum("uses"), F.lit(2**31 - 1)).cast("int").alias("uses")).collect():
             uses[r["cell"]] = r["uses"]
-        return lines.mapInArrow(_placed(uses), _PLACED)
+        return lines.mapInArrow(lean(_placed(uses)), _PLACED)
 
     return finer
 
@@ -308,19 +308,19 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, _text, gone, near: the line numbers to drop, and how many of these equal no earlier line."""
     rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("_text"), "text")
-    lines = written(rows.mapInArrow(_lines, _LINES), "lines")
+    lines = written(rows.mapInArrow(lean(_lines), _LINES), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text", "line")
     exact = lines.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("uses"))
 
     shorts = exact.select("node", short_of("node").alias("short"), "first")
-    listed = crowded(rows.select("text").mapInArrow(_listed, "band bigint, short bigint"))
+    listed = crowded(rows.select("text").mapInArrow(lean(_listed), "band bigint, short bigint"))
     # a task lists a line once, several tasks may list it
     members = written(listed.distinct().join(shorts, "short").select("band", "node", "first"), "buckets")
     wanted = members.select("node", "first.*").distinct()
     asked = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_other")).agg(F.collect_list(F.struct("node", "line")).alias("asked"))
     on = rows["doc_id"].eqNullSafe(asked["_id"]) & rows["_text"].eqNullSafe(asked["_other"])
-    texts = written(rows.join(asked, on).select("text", "asked").mapInArrow(_asked, "node binary, line string").dropDuplicates(["node"]), "bucket-lines")
-    test = lambda pairs: paired(pairs, texts).mapInArrow(_near, LINK)
+    texts = written(rows.join(asked, on).select("text", "asked").mapInArrow(lean(_asked), "node binary, line string").dropDuplicates(["node"]), "bucket-lines")
+    test = lambda pairs: paired(pairs, texts).mapInArrow(lean(_near), LINK)
     found = linked_roots(members.select("band", "node"), test, _rarest(texts), _ALIKE)
 
     classed = exact.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -351,7 +351,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*others).alias("row"), "text", F.col("doc_id").cast("long").alias("_own"), text_key().alias("_own_key"))
     on = rows["_own"].eqNullSafe(gone["_id"]) & rows["_own_key"].eqNullSafe(gone["_other"])
     joined = rows.join(gone, on, "left").select("row", "text", "gone")
-    out = joined.mapInArrow(_kept, joined.select("row", "text").schema)
+    out = joined.mapInArrow(lean(_kept), joined.select("row", "text").schema)
     counted = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
     return out.select(*[F.col("text") if c == "text" else counted.alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
@@ -373,4 +373,4 @@ def line_figures(docs: DataFrame) -> DataFrame:
     gone = repeated_lines(docs).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_other"), "gone", "near")
     on = rows["doc_id"].eqNullSafe(gone["_id"]) & rows["_text"].eqNullSafe(gone["_other"])
     joined = rows.join(gone, on, "left").select("doc_id", "text", "gone", "near")
-    return joined.mapInArrow(_digested, "doc_id bigint, n_lines bigint, n_removed bigint, n_near bigint, kept_sha256 string")
+    return joined.mapInArrow(lean(_digested), "doc_id bigint, n_lines bigint, n_removed bigint, n_near bigint, kept_sha256 string")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .buckets import LINK, crowded, linked_roots, paired, short_of
-from .common import buffers, pieces_of_batches, text_key, written
+from .common import buffers, lean, pieces_of_batches, text_key, written
 
 SHINGLE, ROWS, BANDS = 5, 5, 26
 #: Probability at which a pair at the threshold may share no bucket; ``BANDS`` is the least number of bands.
@@ -150,7 +150,7 @@ def _rarest(texts: DataFrame, percent: int):
 
     def finer(roots: DataFrame) -> DataFrame:
         asked = texts.join(roots, "node").select("node", "root", "text")
-        items = written(asked.mapInArrow(_items, "node binary, root binary, item bigint, size int"), "shingles")
+        items = written(asked.mapInArrow(lean(_items), "node binary, root binary, item bigint, size int"), "shingles")
         # a shingle of one text alone takes a place among the rarest, but makes no bucket
         uses = items.groupBy("item").agg(F.count("*").alias("uses"))
         placed = items.join(uses, "item").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("uses", "item")))
@@ -169,7 +169,7 @@ def _rarest(texts: DataFrame, percent: int):
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, _text, node for each row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long"), text_key().alias("_text"), "text")
-    sketched = written(rows.mapInArrow(_sketched(bands_for(percent)), _SKETCH), "sketches")
+    sketched = written(rows.mapInArrow(lean(_sketched(bands_for(percent))), _SKETCH), "sketches")
     nodes = sketched.where(F.col("node").isNotNull())
     classes = nodes.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "_text")).alias("rep"))
 
@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     shorts = classes.select("node", short_of("node").alias("short"))
     members = written(crowded(listed).join(shorts, "short").select("band", "node"), "buckets")
     texts = _texts(rows, nodes, classes, members.select("node").distinct())
-    test = lambda pairs: paired(pairs, texts).mapInArrow(_linked(percent), LINK)
+    test = lambda pairs: paired(pairs, texts).mapInArrow(lean(_linked(percent)), LINK)
     found = linked_roots(members, test, *_rarest(texts, percent))
 
     mapped = classes.select("node", "first_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_crc32, pieces_of_batches
+from .common import ids_crc32, lean, pieces_of_batches
 from .pretokens import ByteEncoder, encoder
 
 #: Tokens at which attention costs as much as the linear part.
@@ -162,8 +162,8 @@ def _packer(room: int):
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, room: int = 2048) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    pieces = rows.mapInArrow(_tokenized(vocabulary, end_id, room), _PIECES)
+    pieces = rows.mapInArrow(lean(_tokenized(vocabulary, end_id, room)), _PIECES)
     tasks = 1 + rows.select("doc_id").count() // DOCS_PER_TASK
     # by what the piece holds, not by doc_id alone: a frequent doc_id is spread, and a task that runs again deals alike
     dealt = pieces.repartition(tasks, "doc_id", "start", "ids_crc32", "doc_tokens")
-    return dealt.sortWithinPartitions(*_COLUMNS).mapInArrow(_packer(room), _PACKED)
+    return dealt.sortWithinPartitions(*_COLUMNS).mapInArrow(lean(_packer(room)), _PACKED)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, pieces_of_batches
+from .common import crc_of_id, lean, pieces_of_batches
 
 ORDER, SPAN, DECAY, LONGEST = 3, 8, 0.7, 24
 SAMPLE, WITNESSES, OTHERS = 1500, 96, 64
@@ -281,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights |
     # at most two times ``sample`` rows, so one task can fit them
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    found = texts.select("doc_id", "text", "toxic").repartition(1).mapInArrow(_fitted(share), "model binary").collect()
+    found = texts.select("doc_id", "text", "toxic").repartition(1).mapInArrow(lean(_fitted(share)), "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else fit([], [], share)
 
 
@@ -315,7 +315,7 @@ def _scored(model: Weights | float):
 
 def scores(docs: DataFrame, model: Weights | float) -> DataFrame:
     """doc_id, score for each row of ``docs`` (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scored(model), "doc_id bigint, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(_scored(model)), "doc_id bigint, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -341,4 +341,4 @@ def _clean(model: Weights | float):
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    return docs.mapInArrow(_clean(train(docs, labels)), docs.schema)
+    return docs.mapInArrow(lean(_clean(train(docs, labels))), docs.schema)
