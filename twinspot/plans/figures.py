@@ -54,9 +54,11 @@ def mosaic_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mosaic_enhanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spread of each mosaic's values before and after its enhancement."""
-    made = scan.pixels.mapped(_mosaics(spark, sf_dir), lambda image: keypoints.enhanced(image))
-    return made.withColumn("span", scan.pixels.span("gray")).select("name", "width", "height", "span.least", "span.most")
+    """Spread of each mosaic's values before and after its enhancement; width, height, least and most are the enhanced picture's."""
+    before = _mosaics(spark, sf_dir).withColumn("span", scan.pixels.span("gray"))
+    before = before.select("name", "width", "height", "gray", F.col("span.least").alias("least_before"), F.col("span.most").alias("most_before"))
+    made = scan.pixels.mapped(before, lambda image: keypoints.enhanced(image))
+    return made.withColumn("span", scan.pixels.span("gray")).select("name", "width", "height", "span.least", "span.most", "least_before", "most_before")
 
 
 def attribution_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
