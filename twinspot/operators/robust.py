@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 SAMPLE, KEPT = 200, 8
 #: Draws at most, draws of a batch, and the sureness at which drawing ends.
 DRAWS, BATCH, SURE = 10_000, 500, 0.999
-#: Maps that are tried at once.
-SOME = 32
+#: Maps that are tried at once, and tasks for each core.
+SOME, TASKS = 32, 4
 #: Points that settle a map.
 NEEDED = {"affine": 3, "homography": 4}
 MAP = [f"h{k}" for k in range(9)]
@@ -142,8 +142,11 @@ def inverse(maps: DataFrame) -> DataFrame:
 def hypotheses(points: DataFrame, key: str, model: str, threshold: float) -> DataFrame:
     """key, place, h0 to h8: up to ``KEPT`` maps of each key. The seed is the key's, so a rerun draws the same."""
     kind = points.schema[key].dataType.simpleString()
+    spark = points.sparkSession
+    # points are few in bytes and drawing takes long: Spark would join the tasks of thousands of keys to one
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS * spark.sparkContext.defaultParallelism)
     first = Window.partitionBy(key).orderBy(F.xxhash64("x", "y", "u", "v"), "x", "y", "u", "v")
-    sample = points.select(key, "x", "y", "u", "v").withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= SAMPLE)
+    sample = points.select(key, "x", "y", "u", "v").repartition(tasks, key).withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= SAMPLE)
 
     listed = sample.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_place", "x", "y", "u", "v"))).alias("points"))
 

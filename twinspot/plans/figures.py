@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as X
 from ..operators import attribution, blocks, calibrate, clustering, compare, copymove, corpus, keypoints, review, scan, screening
-from ..operators.shared import spread
+from ..operators.shared import kept, spread
 from ..sources import table
 
 #: A calibrator for the query: what a fit could have given.
@@ -39,8 +39,9 @@ def mosaic_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mosaic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each mosaic against itself turned by a quarter and mirrored, and against the next one."""
-    own = _mosaics(spark, sf_dir)
-    turned = scan.pixels.mapped(own, lambda image: image.T).withColumn("name", F.concat("name", F.lit("_turned")))
+    # pictures are read by many steps, each of which would make them again
+    own = kept(_mosaics(spark, sf_dir), "mosaics")
+    turned = kept(scan.pixels.mapped(own, lambda image: image.T).withColumn("name", F.concat("name", F.lit("_turned"))), "turned")
     number = F.substring("name", 2, 6).cast("int")
     pairs = own.select(F.col("name").alias("a"), F.explode(F.array(F.concat("name", F.lit("_turned")), F.format_string("m%06d", number + 1))).alias("b"))
     found = compare.compared(own.union(turned), pairs, "name")
